@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dashboards
+from . import dashboards, lifecycles
 
-_MODULES = (dashboards,)
+_MODULES = (dashboards, lifecycles)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -110,6 +110,7 @@ def overview(store: Store, flt: StatsFilter) -> DataFrame:
             F.count_if(is_open & (F.col("category") == c)).alias(f"open_{c.lower().replace('-', '_')}")
             for c in store.categories
         ],
+        F.count_distinct("repository_id").alias("repositories_tracked"),
         F.count_if(F.col("first_seen_at") >= flt.since).alias("introduced_in_window"),
         F.count_if(F.col("resolved_at") >= flt.since).alias("resolved_in_window"),
         F.round(
@@ -120,14 +121,10 @@ def overview(store: Store, flt: StatsFilter) -> DataFrame:
     ]
     repos = _repos(store, flt).select(F.col("id").alias("rid"))
     in_window = store.scans.join(repos, F.col("repository_id") == F.col("rid")).agg(F.count_if(F.col("created_at") >= flt.since).alias("scans_in_window"))
-    tracked = rows.groupBy("repository_id").agg(F.lit(1).alias("one")).agg(
-        F.count("*").alias("repositories_tracked")
-    )
     median = exact_median(rows.where(is_open).select("first_seen_at"), "first_seen_at", flt.as_of)
     return rows.agg(*measures).select(
         "*",
         in_window.scalar().alias("scans_in_window"),
-        tracked.scalar().alias("repositories_tracked"),
         median.scalar().alias("median_open_age_days"),
     )
 
