@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 from ..fixed_values.enums import CONFIDENCES, SEVERITIES
 
 
+def choose(branches: Sequence[tuple[Column, Column]], otherwise: Column) -> Column:
+    """One flat CASE: the first branch that holds decides."""
+    (condition, value), *rest = branches
+    expr = F.when(condition, value)
+    for condition, value in rest:
+        expr = expr.when(condition, value)
+    return expr.otherwise(otherwise)
+
+
 def ordinal(value: Column, order: Sequence[str], otherwise: int | None = None) -> Column:
-    expr = F.lit(otherwise).cast("int")
-    for rank in range(len(order) - 1, -1, -1):
-        expr = F.when(value == F.lit(order[rank]), F.lit(rank)).otherwise(expr)
-    return expr
+    return choose([(value == F.lit(name), F.lit(rank)) for rank, name in enumerate(order)], F.lit(otherwise).cast("int"))
 
 
 def severity_rank(value: Column) -> Column:
@@ -33,10 +39,7 @@ def severity_of_rank(rank: Column) -> Column:
 
 def lookup(mapping: Mapping[str, str], key: Column) -> Column:
     """A literal map probe; null for a missing key."""
-    expr = F.lit(None).cast("string")
-    for name in reversed(list(mapping)):
-        expr = F.when(key == F.lit(name), F.lit(mapping[name])).otherwise(expr)
-    return expr
+    return choose([(key == F.lit(k), F.lit(v)) for k, v in mapping.items()], F.lit(None).cast("string"))
 
 
 def severity_at_least(value: Column, floor: str) -> Column:
