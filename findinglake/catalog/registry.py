@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dashboards, lifecycles
+from . import dashboards, lifecycles, reviews
 
-_MODULES = (dashboards, lifecycles)
+_MODULES = (dashboards, lifecycles, reviews)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
