@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dashboards, lifecycles, reviews
+from . import dashboards, lifecycles, reviews, texts
 
-_MODULES = (dashboards, lifecycles, reviews)
+_MODULES = (dashboards, lifecycles, reviews, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
