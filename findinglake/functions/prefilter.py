@@ -21,6 +21,7 @@ except ImportError:  # pragma: no cover
     import sre_parse as _p
 
 _MAX_CHOICES = 24
+_GLUE = "\x01"
 
 
 def _best(options: list[frozenset[str] | None]) -> frozenset[str] | None:
@@ -63,13 +64,21 @@ def required_literals(pattern: str) -> tuple[str, ...]:
     return tuple(sorted(found)) if found else ()
 
 
-def may_match(text: Column, pattern: str) -> Column:
-    """False only where the pattern cannot match (ASCII case is ignored)."""
+def _holds_one(lowered: Column, literals: tuple[str, ...]) -> Column:
+    if len(literals) == 1:
+        return F.contains(lowered, F.lit(literals[0]))
+    table = F.split(F.lit(_GLUE.join(literals)), _GLUE)
+    return F.exists(table, lambda literal: F.contains(lowered, literal))
+
+
+def may_match(lowered: Column, pattern: str) -> Column:
+    """False only where the pattern cannot match the text this is the lower
+    case of (so ASCII case is ignored)."""
     literals = required_literals(pattern)
-    if not literals:
-        return F.lit(True)
-    lowered = F.lower(text)
-    condition = F.contains(lowered, F.lit(literals[0]))
-    for literal in literals[1:]:
-        condition = condition | F.contains(lowered, F.lit(literal))
-    return condition
+    return _holds_one(lowered, literals) if literals else F.lit(True)
+
+
+def may_match_any(lowered: Column, patterns: tuple[str, ...]) -> Column:
+    """The same for a choice of patterns."""
+    sets = [required_literals(p) for p in patterns]
+    return _holds_one(lowered, tuple(sorted(set().union(*sets)))) if all(sets) else F.lit(True)

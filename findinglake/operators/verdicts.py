@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..fixed_values.enums import CONFIDENCES, VERDICTS
 from .planning import adjusted_severity
@@ -16,21 +17,30 @@ VERDICT_LIST = (
 )
 
 
-@F.pandas_udf("string")
-def first_json_object(texts: pd.Series) -> pd.Series:
-    """The first balanced JSON object of each text; null when it does not parse."""
-    decoder = json.JSONDecoder()
+def first_json_object(text: Column) -> Column:
+    """The first balanced JSON object of a text; null when it does not parse.
 
-    def first(text: str | None) -> str | None:
-        at = -1 if text is None else text.find("{")
-        if at < 0:
-            return None
-        try:
-            return json.dumps(decoder.raw_decode(text, at)[0])
-        except ValueError:
-            return None
+    Brace matching that respects strings is not a regular language, so this one
+    step runs in Arrow batches. The function is local, so it travels to the
+    executors by value.
+    """
+
+    @F.pandas_udf(T.StringType())
+    def extract(texts: pd.Series) -> pd.Series:
+        decoder = json.JSONDecoder()
+
+        def first(value: str | None) -> str | None:
+            at = -1 if value is None else value.find("{")
+            if at < 0:
+                return None
+            try:
+                return json.dumps(decoder.raw_decode(value, at)[0])
+            except ValueError:
+                return None
+
+        return texts.map(first)
 
-    return texts.map(first)
+    return extract(text)
 
 
 def parse_verdicts(answers: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,7 +53,7 @@ def parse_verdicts(answers: DataFrame, asked: DataFrame, keys: list[str]) -> Dat
     """
     from_tool = F.from_json("tool_json", f"struct<findings:{VERDICT_LIST}>")["findings"]
     from_text = F.from_json(
-        F.when(F.contains("text", F.lit("{")), first_json_object("text")), f"struct<findings:{VERDICT_LIST}>"
+        F.when(F.contains("text", F.lit("{")), first_json_object(F.col("text"))), f"struct<findings:{VERDICT_LIST}>"
     )["findings"]
     items = answers.select(*keys, "model", F.posexplode(F.coalesce(from_tool, from_text)).alias("at", "v"))
     confidence = F.when(F.col("v.confidence").isin(*CONFIDENCES), F.col("v.confidence")).otherwise("medium")

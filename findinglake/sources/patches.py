@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..fixed_values import patterns as P
-from ..functions.dialect import capture, matches
+from ..functions.dialect import bind, capture, matches
 
 LINE = "struct<hunk:int,kind:string,content:string,new_line:int,old_line:int,position:int>"
 _STATE = "struct<hunk:int,new:int,old:int,position:int>"
@@ -131,19 +131,31 @@ def removed_lines(parsed: Column) -> Column:
 
 
 def reconstructed(parsed: Column) -> Column:
-    """As much of the new file as the patch shows; gaps become empty lines."""
-    known = F.filter(parsed, lambda l: l["new_line"].isNotNull())
-    at = F.transform(known, lambda l: l["new_line"])
-    last = F.array_max(at)
+    """As much of the new file as the patch shows; gaps become empty lines.
 
-    def text(n: Column) -> Column:
-        where = F.filter(known, lambda l: l["new_line"] == n)
-        return F.coalesce(F.try_element_at(where, F.lit(-1))["content"], F.lit(""))
-
-    return F.when(last.isNull(), F.lit("")).otherwise(
-        F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), text), "\n")
+    Shown lines are put in order (the later one wins where a number repeats)
+    and each brings the line breaks that separate it from the one before.
+    """
+    shown = F.filter(
+        F.transform(
+            parsed,
+            lambda l, i: F.struct(l["new_line"].alias("n"), i.alias("i"), l["content"].alias("text")),
+        ),
+        lambda x: x["n"] >= 1,
     )
 
+    def last_of_each(rows: Column) -> Column:
+        return F.filter(rows, lambda x, i: F.coalesce(F.get(rows, i + 1)["n"] != x["n"], F.lit(True)))
+
+    def joined(rows: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            before = F.when(i == 0, F.lit(1)).otherwise(F.get(rows, i - 1)["n"])
+            return F.concat(F.repeat(F.lit("\n"), x["n"] - before), x["text"])
+
+        return F.array_join(F.transform(rows, piece), "")
+
+    return bind(F.sort_array(shown), lambda rows: bind(last_of_each(rows), joined))
+
 
 def hunks(patch: Column) -> Column:
     """Hunk headers: starts, counts (1 when left out) and the trailing text."""
@@ -209,16 +221,22 @@ def review_inputs(files: DataFrame) -> DataFrame:
     An added file is scanned whole; otherwise only added lines count. Without
     the new content, what the patch shows is scanned instead.
     """
-    parsed = files.where(~F.col("status").isin("removed", "unchanged")).withColumn("parsed", parsed_lines(F.col("patch")))
-    parsed = parsed.withColumn("changed", F.coalesce(changed_lines(F.col("parsed")), F.array().cast("array<int>")))
-    kept = parsed.where((F.size("changed") > 0) | (F.col("additions") > 0))
-    rebuilt = F.coalesce(F.col("content"), reconstructed(F.col("parsed")))
+    facts = bind(
+        parsed_lines(F.col("patch")),
+        lambda p: F.struct(
+            F.coalesce(changed_lines(p), F.array().cast("array<int>")).alias("changed"),
+            F.coalesce(F.col("content"), F.when(p.isNotNull(), reconstructed(p)), F.lit("")).alias("content"),
+        ),
+    )
+    live = files.where(~F.col("status").isin("removed", "unchanged"))
+    # Generated, so that the parsed patch is worked out once per file.
+    parsed = live.select(
+        "file_idx", "file_path", "status", "additions", F.col("content").isNotNull().alias("whole"),
+        F.explode(F.array(facts)).alias("facts"),
+    )
     status = F.when(F.col("status").isin("added", "renamed", "removed"), F.col("status")).otherwise("modified")
-    out = kept.select(
-        "file_idx", "file_path", rebuilt.alias("content"), status.alias("status"),
-        F.when(F.col("status") != "added", F.col("changed")).alias("changed_lines"),
-        F.col("content").isNotNull().alias("whole"),
+    out = parsed.where((F.size("facts.changed") > 0) | (F.col("additions") > 0)).select(
+        "file_idx", "file_path", F.col("facts.content").alias("content"), status.alias("status"),
+        F.when(F.col("status") != "added", F.col("facts.changed")).alias("changed_lines"), "whole",
     )
     return out.where(F.col("whole") | matches(F.col("content"), r"\S")).drop("whole")
-
-

@@ -39,6 +39,14 @@ def read_history(spark: SparkSession, root: str) -> Store:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input that comes in fewer pieces than
+    there are cores. An input of cluster size has more pieces and is left as
+    it is: its text is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def hashed(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(" ", *parts), 256), 1, 20)
 

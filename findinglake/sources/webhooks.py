@@ -8,6 +8,7 @@ import hmac
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..fixed_values.enums import REVIEWABLE_ACTIONS
 from ..functions.ranks import choose
@@ -23,7 +24,7 @@ def signature_state(body: Column, header: Column, secret: str) -> Column:
     the secret travels with the function and is never a column."""
     key = secret.encode()
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def signed(bodies: pd.Series, headers: pd.Series) -> pd.Series:
         def same(text: str, given: str) -> bool:
             wanted = "sha256=" + hmac.new(key, text.encode(), hashlib.sha256).hexdigest()
