@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values.advisories import ADVISORIES, POPULAR_NPM_PACKAGES
 from ..fixed_values.enums import CONFIDENCES, SEVERITIES, VERDICTS
-from ..functions.versions import compare, lowest_version, range_is_affected
+from ..functions.versions import compare, key_is_affected, key_or_null, lowest_version
 from ..operators.dependency_rules import lookalike
 from ..operators.excerpts import excerpts
 from ..operators.verdicts import parse_verdicts
@@ -202,14 +202,30 @@ def _declared(spark, sf_dir):
 
 
 def version_affected(spark, sf_dir):
-    """Declarations per advisory that admit an affected version."""
-    index = adv.bundled(spark).withColumn("key", F.lower("name")).drop("name")
-    declared = _declared(spark, sf_dir).withColumn("key", F.lower("name"))
-    hit = range_is_affected(F.col("range"), F.col("fixed_in"), F.col("introduced_in"))
+    """Declarations per advisory that admit an affected version.
+
+    Equal declarations are counted first; a version is parsed once per distinct
+    range, and an advisory's bounds once per advisory.
+    """
+    index = adv.bundled(spark).select(
+        "ecosystem", F.lower("name").alias("key"), "cve",
+        key_or_null(F.col("fixed_in")).alias("fixed_key"), key_or_null(F.col("introduced_in")).alias("intro_key"),
+    )
+    distinct = (
+        _declared(spark, sf_dir)
+        .groupBy("ecosystem", F.lower("name").alias("key"), "range")
+        .agg(F.count("*").alias("n"))
+        .select("ecosystem", "key", "n", F.explode(F.array(lowest_version(F.col("range")))).alias("low"))
+        .select("*", F.explode(F.array(key_or_null(F.col("low")))).alias("low_key"))
+    )
+    hit = key_is_affected(F.col("low_key"), F.col("fixed_key"), F.col("intro_key"))
     return (
-        declared.join(index, ["ecosystem", "key"])
+        distinct.join(F.broadcast(index), ["ecosystem", "key"])
         .groupBy("cve")
-        .agg(F.count("*").alias("declared"), F.count_if(hit).alias("affected"), F.min(lowest_version(F.col("range"))).alias("least_text"))
+        .agg(
+            F.sum("n").alias("declared"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("affected"),
+            F.min("low").alias("least_text"),
+        )
     )
 
 

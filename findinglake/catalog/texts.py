@@ -10,7 +10,7 @@ from ..fixed_values import credentials as C
 from ..functions import globs, scrub
 from ..functions import text as tx
 from ..operators.lines import block
-from ..sources.tables import read
+from ..sources.tables import read, spread
 
 
 def _digest(value):
@@ -45,10 +45,10 @@ _PLANTED_SQL = """concat(chr(10), 'key AKIA', upper(substr(h,1,16)), ' and ghp_'
 
 
 def scrub_documents(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
     clean = scrub.scrub_credentials(F.concat("text", _planted(F.col("doc_id"))))
     masks = (F.length("c") - F.length(F.replace("c", F.lit(C.MASK), F.lit("")))) / len(C.MASK)
-    return docs.select("doc_id", clean.alias("c")).select(
+    return docs.select("doc_id", F.explode(F.array(clean)).alias("c")).select(
         "doc_id", _digest("c").alias("digest"), masks.cast("long").alias("masks")
     )
 
@@ -79,7 +79,7 @@ def redact_conversations(spark, sf_dir):
 
 
 def entropy(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.round(tx.shannon_entropy(F.col("text")), 6).alias("bits"))
 
 

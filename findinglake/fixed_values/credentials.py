@@ -14,8 +14,9 @@ PROVIDER_TOKENS = (
     r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]*PRIVATE KEY-----|$)",
 )
 
+# A key word anywhere inside a name, then a quoted value of six or more.
 ASSIGNED_SECRET = (
-    r"(\b(?:[A-Za-z0-9_]*)?(?:passwd|password|secret|token|api[_-]?key|apikey|access[_-]?key|auth[_-]?token"
+    r"((?:passwd|password|secret|token|api[_-]?key|apikey|access[_-]?key|auth[_-]?token"
     r"|client[_-]?secret|private[_-]?key|credential|bearer)(?:[A-Za-z0-9_]*)?\s*[:=]\s*)"
     r"([\"'`])([^\"'`\n]{6,})\2"
 )

@@ -7,22 +7,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..fixed_values import credentials as C
-from .dialect import matches, substitute
+from .dialect import bind, matches, substitute
+from .prefilter import may_match
+
+
+def _masked(text: Column, pattern: str, replacement: str, ignore_case: bool = False) -> Column:
+    """Replace, but only in a text that holds a literal the pattern needs: most
+    texts hold none and skip the match."""
+    possible = may_match(F.lower(text), pattern)
+    return F.when(possible, substitute(text, pattern, replacement, ignore_case)).otherwise(text)
+
+
+def _in_turn(text: Column, steps: list[tuple[str, str, bool]]) -> Column:
+    """Apply the replacements one after another, each on the bound result of
+    the one before, so no step is worked out twice."""
+    if not steps:
+        return text
+    (pattern, replacement, ignore_case), *rest = steps
+    return bind(text, lambda t: _in_turn(_masked(t, pattern, replacement, ignore_case), rest))
 
 
 def scrub_credentials(text: Column) -> Column:
-    out = text
-    for pattern in C.PROVIDER_TOKENS:
-        out = substitute(out, pattern, C.MASK)
-    out = substitute(out, C.ASSIGNED_SECRET, "$1$2" + C.MASK + "$2", ignore_case=True)
-    return substitute(out, C.URL_PASSWORD, "$1" + C.MASK + "$3", ignore_case=True)
+    steps = [(pattern, C.MASK, False) for pattern in C.PROVIDER_TOKENS]
+    steps.append((C.ASSIGNED_SECRET, "$1$2" + C.MASK + "$2", True))
+    steps.append((C.URL_PASSWORD, "$1" + C.MASK + "$3", True))
+    return _in_turn(text, steps)
 
 
 def redact_text(text: Column) -> Column:
-    out = text
-    for pattern in C.LOG_VALUES:
-        out = substitute(out, pattern, C.MASK)
-    return out
+    return _in_turn(text, [(pattern, C.MASK, False) for pattern in C.LOG_VALUES])
 
 
 def redact(value: Column, data_type: T.DataType, depth: int = 0) -> Column:

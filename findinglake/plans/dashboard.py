@@ -141,36 +141,40 @@ def trend(store: Store, flt: StatsFilter, by_severity: bool = False) -> DataFram
 
     The balance may not go below zero. With P the unclamped running balance,
     the clamped one is P minus the lowest value P has reached below zero.
-    The two day windows run over at most `days` aggregated rows.
+
+    One pass: a state row turns into its dated events - introduced, resolved,
+    or carried into the first day - and those collapse to one row per day on
+    the map side. The window then runs over at most `days` rows.
     """
-    rows = _state(store, flt)
     start = flt.first_midnight
+    first, gone = F.col("first_seen_at"), F.col("resolved_at")
     known = F.col("severity").isin(*SEVERITIES)
-    severity_counts = [F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES]
-    introduced = (
-        rows.where((F.col("first_seen_at") >= start) & known)
-        .groupBy(F.to_date("first_seen_at").alias("date"))
-        .agg(F.count("*").alias("introduced"), *severity_counts)
+    no_text = F.lit(None).cast("string")
+
+    def event(kind: str, date: Column, severity: Column = no_text) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), date.alias("date"), severity.alias("severity"))
+
+    dated = F.array(
+        event("introduced", F.when((first >= start) & known, F.to_date(first)), F.col("severity")),
+        event("resolved", F.when(gone >= start, F.to_date(gone))),
+        event("carried", F.when((first < start) & (gone.isNull() | (gone >= start)), F.lit(flt.first_day))),
     )
-    resolved = (
-        rows.where(F.col("resolved_at") >= start)
-        .groupBy(F.to_date("resolved_at").alias("date"))
-        .agg(F.count("*").alias("resolved"))
+    per_day = (
+        _state(store, flt, "first_seen_at", "resolved_at", "severity")
+        .select(F.explode(dated).alias("e"))
+        .where("e.date is not null")
+        .groupBy("e.date")
+        .agg(
+            *[F.count_if(F.col("e.kind") == kind).alias(kind) for kind in ("introduced", "resolved", "carried")],
+            *[F.count_if((F.col("e.kind") == "introduced") & (F.col("e.severity") == s)).alias(s) for s in SEVERITIES],
+        )
     )
-    carried = rows.where(
-        (F.col("first_seen_at") < start) & (F.col("resolved_at").isNull() | (F.col("resolved_at") >= start))
-    ).agg(F.count("*").alias("carried"))
-    daily = (
-        day_spine(store, flt)
-        .join(introduced, "date", "left")
-        .join(resolved, "date", "left")
-        .na.fill(0, ["introduced", "resolved", *SEVERITIES])
-        .withColumn("carried", carried.scalar())
+    daily = day_spine(store, flt).join(per_day, "date", "left").na.fill(
+        0, ["introduced", "resolved", "carried", *SEVERITIES]
     )
     running = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    balance = daily.withColumn(
-        "p", F.col("carried") + F.sum(F.col("introduced") - F.col("resolved")).over(running)
-    )
+    moved = F.col("carried") + F.col("introduced") - F.col("resolved")
+    balance = daily.withColumn("p", F.sum(moved).over(running))
     out = balance.withColumn("open", F.col("p") - F.least(F.lit(0), F.min("p").over(running)))
     columns = ["date", "introduced", "resolved", "open"]
     return out.select(*columns, *(SEVERITIES if by_severity else ()))
