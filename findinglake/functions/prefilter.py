@@ -55,6 +55,45 @@ def _required(tree) -> frozenset[str] | None:
     return _best(options)
 
 
+_SIGNS = frozenset("(=:[{\"'`@$#/*|")
+
+
+def _sign_choice(tree) -> frozenset[str] | None:
+    """Punctuation of which any match contains at least one; None if unknown."""
+    options: list[frozenset[str]] = []
+    for op, arg in tree:
+        found = None
+        if op is _c.LITERAL:
+            found = frozenset([chr(arg)])
+        elif op is _c.IN and all(kind is _c.LITERAL for kind, _ in arg):
+            found = frozenset(chr(code) for _, code in arg)
+        elif op is _c.SUBPATTERN:
+            found = _sign_choice(arg[3])
+        elif op is _c.BRANCH:
+            parts = [_sign_choice(branch) for branch in arg[1]]
+            found = frozenset().union(*parts) if all(parts) else None
+        elif op in (_c.MAX_REPEAT, _c.MIN_REPEAT, _c.POSSESSIVE_REPEAT) and arg[0] >= 1:
+            found = _sign_choice(arg[2])
+        if found and found <= _SIGNS:
+            options.append(found)
+    return min(options, key=len, default=None)
+
+
+@lru_cache(maxsize=None)
+def required_signs(pattern: str) -> frozenset[str]:
+    """Punctuation signs a match cannot do without one of; empty if unknown."""
+    try:
+        return _sign_choice(_p.parse(pattern)) or frozenset()
+    except re.error:
+        return frozenset()
+
+
+def holds_sign(text: Column, signs: frozenset[str]) -> Column:
+    if len(signs) == 1:
+        return F.contains(text, F.lit(next(iter(signs))))
+    return text.rlike("[" + "".join("\\" + s for s in sorted(signs)) + "]")
+
+
 @lru_cache(maxsize=None)
 def required_literals(pattern: str) -> tuple[str, ...]:
     try:

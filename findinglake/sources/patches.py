@@ -199,8 +199,8 @@ def split_multi_file_diff(diffs: DataFrame, keys: list[str], diff: str = "diff")
         lambda x: x,
     )
     named = shaped.withColumn("named", at_path).where(F.size("named") > 0)
-    target = F.trim(F.expr("substr(element_at(named, -1).l, 5)"))
-    first_at = F.col("named")[0]["i"]
+    target = F.trim(F.expr("substr(try_element_at(named, -1).l, 5)"))
+    first_at = F.get(F.col("named"), 0)["i"]
     body = F.filter(
         F.transform("lines", lambda l, i: F.when(i > first_at, l)),
         lambda l: l.isNotNull()
