@@ -127,7 +127,6 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
     )
     # Read several times below; findings are small next to the files.
     found = override_severity(scan(files, options), dict(settings.overrides)).persist()
-    found = found.where(~F.col("rule_id").isin(*settings.disabled_rules)) if settings.disabled_rules else found
     judged = found.withColumn("verdict", F.lit(None).cast("string"))
     failing = judged.where(blocking(settings.fail_on)).count()
     for warning in warnings:

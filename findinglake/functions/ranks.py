@@ -34,7 +34,7 @@ def confidence_rank(value: Column) -> Column:
 
 
 def severity_of_rank(rank: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), rank + 1)
+    return F.get(F.array(*[F.lit(s) for s in SEVERITIES]), rank)
 
 
 def lookup(mapping: Mapping[str, str], key: Column) -> Column:

@@ -23,6 +23,7 @@ def merged_windows(findings: DataFrame, lengths: DataFrame, keys: list[str], con
             F.greatest(F.lit(1), F.col("line") - context).alias("start"),
             F.least("n_lines", end + context).alias("stop"),
         )
+        .where(F.col("start") <= F.col("stop"))
         .groupBy(*keys, "start")
         .agg(F.max("stop").alias("stop"))
     )

@@ -1,10 +1,8 @@
-"""Session settings that are safe on a cluster, plus lineage cutting."""
+"""Session settings that are safe on a cluster."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 _SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -22,17 +20,3 @@ def build_session(app_name: str = "findinglake", master: str | None = None, **ex
     for key, value in {**_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names.
-
-    A folder is chosen here only where none is configured, which is the
-    single-machine test case.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="findinglake-ckpt-"))
-    return df.checkpoint()

@@ -39,12 +39,18 @@ def read_history(spark: SparkSession, root: str) -> Store:
     )
 
 
+_SPLIT_BYTES = 128 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of an input that comes in fewer pieces than
-    there are cores. An input of cluster size has more pieces and is left as
-    it is: its text is not shuffled."""
+    """Give every core a share of an input too small to be split that far.
+
+    The planner's size estimate decides, so nothing runs to find out. An input
+    of cluster size is left as it is: its text is not shuffled.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * _SPLIT_BYTES else df
 
 
 def hashed(*parts: Column) -> Column:
