@@ -50,7 +50,7 @@ def clipped_windows(windows: DataFrame, keys: list[str], max_lines: int) -> Data
         windows.withColumn("used", used)
         .withColumn("wanted", F.sum(size).over(whole))
         .where(F.col("used") < max_lines)
-        .withColumn("stop", F.least(F.col("stop"), (F.col("start") + max_lines - F.col("used") - 1)))
+        .withColumn("stop", F.least(F.col("stop"), (F.col("start") + max_lines - F.col("used") - 1)).cast("int"))
         .withColumn("truncated", F.col("wanted") > max_lines)
         .select(*keys, "island", "start", "stop", "truncated")
     )
