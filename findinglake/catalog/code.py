@@ -341,7 +341,9 @@ merged as (select doc_id, v, file_path, line, end_line, rule_id, severity, confi
         case when length(flat)>200 then concat(flat[1:197],'...') else flat end from extra),
 found as (select doc_id, v, file_path, cast(line as int) line, cast(end_line as int) end_line, rule_id,
       string_split(rule_id,'/')[1] category, severity, confidence, snippet,
-      substr(sha256(concat(rule_id,' ',file_path,' ',snippet)),1,20) fingerprint from merged)
+      substr(sha256(concat(rule_id,' ',file_path,' ',snippet)),1,20) fingerprint from merged
+      -- Long lines with the same first 200 characters are one finding.
+      qualify row_number() over (partition by file_path, rule_id, snippet order by line) = 1)
 """
 _SHOWN = "file_path, line, end_line, rule_id, category, severity, confidence, snippet, fingerprint"
 _SEVERITY_SQL = "list_position(['critical','high','medium','low','info'], severity)"
