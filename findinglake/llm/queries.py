@@ -5,15 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
+from . import bpe, html, secrets, simhash
 from .common import read
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of(F.col("bits")).alias("fingerprint"), "component_id")
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = [rule.kind for rule in secrets.BASE_RULES]
+    spans = F.col("spans")
+    return secrets.find_secrets(read(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *(F.size(secrets.of_kinds(spans, kind)).cast("long").alias(f"n_{kind}") for kind in base),
+        F.sha2(secrets.listed(secrets.of_kinds(spans, *base)), 256).alias("base_sha256"),
+        secrets.listed(spans).alias("spans"),
+    )
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,7 +40,9 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_html_extraction": op2_html_extraction,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_secret_scans": op4_secret_scans,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
