@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, language, secrets, simhash, topk
+from . import bpe, decontaminate, html, language, secrets, simhash, topk
 from .common import read
 
 
@@ -36,6 +36,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,11 +63,42 @@ QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_secret_scans": op4_secret_scans,
     "op5_language_id": op5_language_id,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_exact_top_k": op10_exact_top_k,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_benchmark_decontamination": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+            FROM documents
+        ), i AS (
+            SELECT item_id, w, least(10, len(w)) AS l
+            FROM (SELECT item_id, coalesce(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM benchmark)
+            WHERE len(w) > 0
+        ), iw AS (
+            SELECT DISTINCT item_id, l, array_to_string(w[s : s + l - 1], ' ') AS g
+            FROM (SELECT item_id, w, l, unnest(range(1, len(w) - l + 2)) AS s FROM i)
+        ), dw AS (
+            SELECT r, l, s, array_to_string(w[s : s + l - 1], ' ') AS g
+            FROM (SELECT r, w, l, unnest(range(1, len(w) - l + 2)) AS s FROM d, (SELECT DISTINCT l FROM i))
+        ), m AS (
+            SELECT DISTINCT r, l, s, item_id FROM dw JOIN iw USING (l, g)
+        ), hit AS (
+            SELECT r, count(DISTINCT p) AS n_hit
+            FROM (SELECT r, unnest(range(s, s + l)) AS p FROM (SELECT DISTINCT r, s, l FROM m)) GROUP BY r
+        ), item AS (
+            SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items
+            FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM m WHERE item_id IS NOT NULL) GROUP BY r
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN hit USING (r) LEFT JOIN item USING (r)""",
     "op10_exact_top_k": """
         WITH usable AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
