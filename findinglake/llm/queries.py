@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, language, secrets, simhash, topk
+from . import bpe, decontaminate, html, language, licenses, quality, secrets, simhash, topk
 from .common import read
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "license", F.size("notices").cast("long").alias("n_notices"),
+        F.concat_ws(",", F.array_sort(F.array_distinct(F.col("notices.license")))).alias("notices"),
+    )
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"))
 
@@ -54,21 +62,29 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    return quality.grade_texts(documents, quality.learn(documents, read(spark, sf_dir, "labels")))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 QUERIES = {
+    "op1_license_scans": op1_license_scans,
     "op2_html_extraction": op2_html_extraction,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_secret_scans": op4_secret_scans,
     "op5_language_id": op5_language_id,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_exact_top_k": op10_exact_top_k,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_license_scans": licenses.oracle(),
     "op7_benchmark_decontamination": r"""
         WITH d AS (
             SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(
