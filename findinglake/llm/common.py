@@ -32,12 +32,6 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder."""
-    scratch_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back; a lost executor loses nothing of it."""
     spark = df.sparkSession

@@ -19,16 +19,36 @@ repeated rows give repeated rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_rows, stored
+from .common import map_rows, stored
 
 MAX_BITS = 3
-_CHUNK = 100_000
+#: Words in a shingle of the similarity that `similar` asks for, and the bits of 256 by which sketches of texts
+#: that share 0.8 of them differ at most: 39 on average, with a deviation of 6.
+WORDS, SKETCH_BITS = 5, 45
+
+
+def _grams(words: list[bytes], length: int) -> list[bytes]:
+    """Space-joined shingles; the whole sequence if it is shorter."""
+    if length == 1 or len(words) < length:
+        return words if length == 1 else [b" ".join(words)]
+    return list(map(b" ".join, zip(*(words[k:] for k in range(length)))))
+
+
+def majority(digests: bytes, width: int) -> np.ndarray:
+    """Packed bits set in over half of the digests of `width` bytes each."""
+    rows = np.frombuffer(digests, np.uint8).reshape(-1, width)
+    set_bits = np.zeros(8 * width, np.int64)
+    for start in range(0, len(rows), 255):
+        set_bits += np.unpackbits(rows[start : start + 255], axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * set_bits > len(rows))
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -36,19 +56,8 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     words = (text or "").encode().lower().split()
     if not words:
         return 0
-    n = max(1, len(words) - shingle + 1)
-    set_bits = np.zeros(64, np.int64)
     digest = xxhash.xxh64_digest
-    for start in range(0, n, _CHUNK):
-        part = words[start : min(start + _CHUNK, n) + shingle - 1]
-        if n == 1:
-            hashed = digest(b" ".join(words), seed)
-        else:
-            grams = map(b" ".join, zip(*(part[k:] for k in range(shingle))))
-            hashed = b"".join([digest(gram, seed) for gram in grams])
-        bits = np.unpackbits(np.frombuffer(hashed, np.uint8).reshape(-1, 8), axis=1)
-        set_bits += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * set_bits > n).tobytes(), "big")
+    return int.from_bytes(majority(b"".join([digest(g, seed) for g in _grams(words, shingle)]), 8).tobytes(), "big")
 
 
 def fingerprints(df: DataFrame, text: str = "text", row_id: str = "doc_id", shingle: int = 3) -> DataFrame:
@@ -96,8 +105,8 @@ def links(nodes: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edge list (a, b); the root is the smallest node reached."""
-    edges = checkpointed(
-        edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v <> m").distinct()
+    edges = stored(
+        edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v <> m").distinct(), "edges"
     )
     seen = None
     while True:
@@ -105,11 +114,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("v").agg(F.min("m").alias("r")).select("v", F.least("v", "r").alias("r"))
         large = both.join(least, "v").where("m > v").select(F.col("m").alias("v"), F.col("r").alias("m")).distinct()
         least = large.groupBy("v").agg(F.min("m").alias("r"))
-        joined = large.join(least, "v")
-        edges = checkpointed(
-            joined.where("m <> r").select(F.col("m").alias("v"), F.col("r").alias("m"))
-            .unionAll(least.select("v", F.col("r").alias("m"))).distinct()
-        )
+        small = large.join(least, "v").where("m <> r").select(F.col("m").alias("v"), F.col("r").alias("m"))
+        edges = stored(small.unionAll(least.select("v", F.col("r").alias("m"))).distinct(), "edges")
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "m"))).first()
         if state == seen:
             break
@@ -129,5 +135,71 @@ def near_duplicates(df: DataFrame, text: str = "text", row_id: str = "doc_id", s
     return prints.join(member.select("bits", "root").join(named, "root"), "bits").select(row_id, "bits", "component_id")
 
 
+def _signature(text: str | None) -> list[int]:
+    """The fingerprint; two fingerprints of single words; a sketch of 256 majority bits of five-word shingles."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return [0] * 7
+    one, two = xxhash.xxh64_digest, xxhash.xxh3_128_digest
+    parts = [
+        majority(b"".join([one(g, 42) for g in _grams(words, 3)]), 8),
+        majority(b"".join([one(w, 42) for w in words]), 8), majority(b"".join([one(w, 43) for w in words]), 8),
+    ]
+    shingles = _grams(words, WORDS)
+    parts += [majority(b"".join([two(g, seed) for g in shingles]), 16) for seed in (42, 43)]
+    return np.concatenate(parts).view(">i8").tolist()
+
+
+def similar(df: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+    """Groups of texts that share about 0.8 or more of their five-word shingles, or link by `near_duplicates`.
+
+    One row per input row: the id and `component_id`, the smallest id of its group. A few changed words turn many bits
+    of a shingle fingerprint but few of a single-word fingerprint. So the grid finds texts close in either of two
+    single-word fingerprints, and each such pair is verified on sketches of five-word shingles. Texts with the same
+    single-word fingerprint are verified against one of them, so a group of copies never becomes pairs.
+    """
+    names = ["bits", "w0", "w1", "s0", "s1", "s2", "s3"]
+
+    def row(key, value):
+        return key, *_signature(value)
+
+    signed = map_rows(
+        df, [F.col(row_id).cast("long"), F.col(text)], row, ", ".join(["row_id long", *(f"{n} long" for n in names)]),
+        pa.schema([(n, pa.int64()) for n in ("row_id", *names)]),
+    )
+    signed = stored(signed.withColumn("node", F.xxhash64(*names)), "signatures")
+    nodes = stored(signed.groupBy("node", *names).agg(F.min("row_id").alias("least_id")), "nodes")
+    sketch = ["node", "s0", "s1", "s2", "s3"]
+
+    def of(name: str) -> Column:
+        return F.xxhash64(F.lit("bits"), F.col(name))
+
+    def close(left: str, right: str) -> Column:
+        apart = [F.bit_count(F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))) for s in sketch[1:]]
+        return sum(apart[1:], apart[0]) <= SKETCH_BITS
+
+    edges = [
+        nodes.select(F.col("node").alias("a"), of("bits").alias("b")),
+        links(nodes.select("bits").distinct()).select(of("a").alias("a"), of("b").alias("b")),
+    ]
+    for word in ("w0", "w1"):
+        center = nodes.groupBy(F.col(word).alias("bits")).agg(F.min_by(F.struct(*sketch), "node").alias("center"))
+        member = nodes.select(F.col(word).alias("bits"), F.struct(*sketch).alias("member")).join(center, "bits")
+        edges.append(
+            member.where((F.col("member.node") != F.col("center.node")) & close("member", "center"))
+            .select(F.col("member.node").alias("a"), F.col("center.node").alias("b"))
+        )
+        met = links(center.select("bits")).join(center.select(F.col("bits").alias("a"), F.col("center").alias("left")), "a")
+        met = met.join(center.select(F.col("bits").alias("b"), F.col("center").alias("right")), "b")
+        edges.append(met.where(close("left", "right")).select(F.col("left.node").alias("a"), F.col("right.node").alias("b")))
+    root = components(reduce(DataFrame.unionAll, edges))
+    member = nodes.select("node", "least_id").join(root, "node").select("node", "least_id", "root")
+    named = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    by_node = member.select("node", "root").join(named, "root").select("node", "component_id")
+    return signed.join(by_node, "node").select(
+        F.col("row_id").cast(df.schema[row_id].dataType).alias(row_id), "component_id"
+    )
+
+
 def hex_of(bits: Column) -> Column:
     return F.lower(F.lpad(F.hex(bits), 16, "0"))
