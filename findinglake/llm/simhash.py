@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored
+from .common import map_rows, stored, text_key
 
 MAX_BITS = 3
 #: Words in a shingle of the similarity that `similar` asks for, and the bits of 256 by which sketches of texts
@@ -135,41 +135,42 @@ def near_duplicates(df: DataFrame, text: str = "text", row_id: str = "doc_id", s
     return prints.join(member.select("bits", "root").join(named, "root"), "bits").select(row_id, "bits", "component_id")
 
 
+_SINGLE, _SKETCH = ["w0", "w1", "w2", "w3"], ["s0", "s1", "s2", "s3"]
+
+
 def _signature(text: str | None) -> list[int]:
-    """The fingerprint; two fingerprints of single words; a sketch of 256 majority bits of five-word shingles."""
+    """The fingerprint; four fingerprints of single words; a sketch of 256 majority bits of five-word shingles."""
     words = (text or "").encode().lower().split()
     if not words:
-        return [0] * 7
+        return [0] * 9
     one, two = xxhash.xxh64_digest, xxhash.xxh3_128_digest
-    parts = [
-        majority(b"".join([one(g, 42) for g in _grams(words, 3)]), 8),
-        majority(b"".join([one(w, 42) for w in words]), 8), majority(b"".join([one(w, 43) for w in words]), 8),
-    ]
-    shingles = _grams(words, WORDS)
-    parts += [majority(b"".join([two(g, seed) for g in shingles]), 16) for seed in (42, 43)]
+    parts = [majority(b"".join([one(g, 42) for g in _grams(words, 3)]), 8)]
+    for grams in (words, _grams(words, WORDS)):
+        parts += [majority(b"".join([two(g, seed) for g in grams]), 16) for seed in (42, 43)]
     return np.concatenate(parts).view(">i8").tolist()
 
 
 def similar(df: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """Groups of texts that share about 0.8 or more of their five-word shingles, or link by `near_duplicates`.
 
-    One row per input row: the id and `component_id`, the smallest id of its group. A few changed words turn many bits
-    of a shingle fingerprint but few of a single-word fingerprint. So the grid finds texts close in either of two
+    One row per input row: the id, `text_key` and `component_id`, the smallest id of its group. A few changed words turn many bits
+    of a shingle fingerprint but few of a single-word fingerprint. So the grid finds texts close in one of four
     single-word fingerprints, and each such pair is verified on sketches of five-word shingles. Texts with the same
     single-word fingerprint are verified against one of them, so a group of copies never becomes pairs.
     """
-    names = ["bits", "w0", "w1", "s0", "s1", "s2", "s3"]
+    names = ["bits", *_SINGLE, *_SKETCH]
 
-    def row(key, value):
-        return key, *_signature(value)
+    def row(key, tell, value):
+        return key, tell, *_signature(value)
 
+    columns = ["row_id", "text_key", *names]
     signed = map_rows(
-        df, [F.col(row_id).cast("long"), F.col(text)], row, ", ".join(["row_id long", *(f"{n} long" for n in names)]),
-        pa.schema([(n, pa.int64()) for n in ("row_id", *names)]),
+        df, [F.col(row_id).cast("long"), text_key(F.col(text)), F.col(text)], row, ", ".join(f"{n} long" for n in columns),
+        pa.schema([(n, pa.int64()) for n in columns]),
     )
     signed = stored(signed.withColumn("node", F.xxhash64(*names)), "signatures")
     nodes = stored(signed.groupBy("node", *names).agg(F.min("row_id").alias("least_id")), "nodes")
-    sketch = ["node", "s0", "s1", "s2", "s3"]
+    sketch = ["node", *_SKETCH]
 
     def of(name: str) -> Column:
         return F.xxhash64(F.lit("bits"), F.col(name))
@@ -182,7 +183,7 @@ def similar(df: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFr
         nodes.select(F.col("node").alias("a"), of("bits").alias("b")),
         links(nodes.select("bits").distinct()).select(of("a").alias("a"), of("b").alias("b")),
     ]
-    for word in ("w0", "w1"):
+    for word in _SINGLE:
         center = nodes.groupBy(F.col(word).alias("bits")).agg(F.min_by(F.struct(*sketch), "node").alias("center"))
         member = nodes.select(F.col(word).alias("bits"), F.struct(*sketch).alias("member")).join(center, "bits")
         edges.append(
@@ -197,7 +198,7 @@ def similar(df: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFr
     named = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_node = member.select("node", "root").join(named, "root").select("node", "component_id")
     return signed.join(by_node, "node").select(
-        F.col("row_id").cast(df.schema[row_id].dataType).alias(row_id), "component_id"
+        F.col("row_id").cast(df.schema[row_id].dataType).alias(row_id), "text_key", "component_id"
     )
 
 
