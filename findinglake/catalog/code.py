@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed_values import patterns as P
+from ..fixed_values.enums import MAX_FINDINGS_PER_FILE
 from ..operators.lines import split_lines
-from ..operators.scan import ScanOptions, scan, summary
+from ..operators.scan import ScanOptions, hidden_per_file, scan, summary
 from ..operators.taint import taint_map
 from ..functions.text import detect_language
 from ..sources.manifests import advisory_queries, parse_manifests
@@ -157,6 +158,17 @@ HEADS = (
         (3, None, "sql-injection/interpolated-query", "critical", "high"),
         (4, None, "dangerous-api/shell-exec", "critical", "medium"),
     ), (("user", 1), ("html", 2))),
+    ("ddl", "js", (
+        "const app = express();",
+        "db.query(`CREATE",
+        " TABLE ${req.query.n} (id int)`);",
+        "db.query(`DROP TABLE ${req.query.n}`);",
+        "const note = `CREATE",
+        " TABLE of contents`;",
+    ), (
+        (2, 3, "sql-injection/interpolated-query", "critical", "high"),
+        (4, None, "sql-injection/interpolated-query", "critical", "high"),
+    ), ()),
 )
 
 
@@ -217,6 +229,29 @@ def scan_pages(spark, sf_dir):
     )
 
 
+def _long_files(spark, sf_dir):
+    """Files with 26 to 35 findings each."""
+    key = F.col("doc_id")
+    calls = F.transform(
+        F.sequence(F.lit(1), (key % 10 + 26).cast("int")), lambda n: F.concat(F.lit("eval(a"), n.cast("string"), F.lit(");"))
+    )
+    return read(spark, sf_dir, "documents").select(
+        key.alias("file_idx"), F.concat(F.lit("lib/f"), key.cast("string"), F.lit(".js")).alias("file_path"),
+        F.array_join(calls, "\n").alias("content"), F.lit("modified").alias("status"),
+        F.lit(None).cast("array<int>").alias("changed_lines"),
+    )
+
+
+def scan_long_files(spark, sf_dir):
+    return scan(_long_files(spark, sf_dir)).groupBy("file_path").agg(F.count("*").alias("findings"))
+
+
+def scan_long_files_capped(spark, sf_dir):
+    options = ScanOptions(max_findings_per_file=MAX_FINDINGS_PER_FILE)
+    shown = scan(_long_files(spark, sf_dir), options).groupBy("file_path").agg(F.count("*").alias("shown"))
+    return shown.join(hidden_per_file(_long_files(spark, sf_dir), options), "file_path")
+
+
 def taint_names(spark, sf_dir):
     files = code_files(spark, sf_dir)
     language = detect_language(F.col("file_path"))
@@ -287,6 +322,8 @@ QUERIES = {
     "scan_two_families": scan_two_families,
     "scan_counts": scan_counts,
     "scan_pages": scan_pages,
+    "scan_long_files": scan_long_files,
+    "scan_long_files_capped": scan_long_files_capped,
     "taint_names": taint_names,
     "manifest_dependencies": manifest_dependencies,
     "dependency_findings": dependency_findings,
@@ -399,6 +436,9 @@ select file_path, line, rule_id, severity, confidence, snippet,
   substr(sha256(concat(rule_id,' ',file_path,' ',snippet,extra)),1,20) fingerprint from hit"""
 
 ORACLES = {
+    "scan_long_files": """select concat('lib/f', doc_id, '.js') file_path, doc_id%10+26 as findings from documents""",
+    "scan_long_files_capped": """select concat('lib/f', doc_id, '.js') file_path, 25::bigint as shown,
+        doc_id%10+26 as findings, doc_id%10+1 as hidden from documents""",
     "scan_documents": f"{_FOUND} select {_SHOWN} from found",
     "scan_changed_lines": f"""{_FOUND} select {_SHOWN} from found
         where severity in ('critical','high') and (doc_id%2=1 or line<=5)""",

@@ -76,11 +76,11 @@ s as (select fs.*, r.full_name from finding_state fs join repositories r on r.id
 
 def _overview_sql(as_of: str, days: int, where: str) -> str:
     severities = ",\n".join(
-        f"count(*) filter (where status='open' and severity='{s}') open_{s}"
+        f"count(*) filter (where status='open' and severity='{s}') open_severity_{s}"
         for s in ("critical", "high", "medium", "low", "info")
     )
     categories = ",\n".join(
-        f"count(*) filter (where status='open' and category='{c}') open_{c.lower()}" for c in PART_CATEGORIES
+        f"count(*) filter (where status='open' and category='{c}') open_category_{c.lower()}" for c in PART_CATEGORIES
     )
     since = f"timestamp '{as_of}' - interval {days} day"
     return f"""{STATE_SQL},

@@ -161,12 +161,14 @@ def _turns(spark, sf_dir):
     item = F.struct(
         _text("fp", key % 50).alias("fingerprint"),
         _pick((*VERDICTS, "maybe"), key).alias("verdict"),
-        F.when(key % 13 != 0, F.substring("text", 1, 20)).otherwise(F.lit("  ")).alias("reasoning"),
+        F.when(key % 13 != 0, F.col("text")).otherwise(F.lit(" \n\t ")).alias("reasoning"),
         F.when(key % 2 == 0, F.lit(" patch it ")).alias("fix"),
         _pick(SEVERITIES, key).alias("severity"),
         _pick((*CONFIDENCES, "sure"), key).alias("confidence"),
     )
-    answer = F.to_json(F.struct(F.array(item).alias("findings")))
+    # Beside the item: no objects, and the same finding with a number for its reasoning.
+    wrong = F.to_json(F.struct(_text("fp", key % 50).alias("fingerprint"), F.lit("refuted").alias("verdict"), key.alias("reasoning")))
+    answer = F.concat(F.lit('{"findings":["oops",7,null,'), F.to_json(item), F.lit(","), wrong, F.lit("]}"))
     turns = read(spark, sf_dir, "conversations").select(
         "conv_id", "turn",
         F.when(key % 3 == 0, answer).alias("tool_json"),
@@ -254,7 +256,7 @@ def typosquat(spark, sf_dir):
 def _questions(spark, sf_dir):
     k = F.col("p_partkey")
     return read(spark, sf_dir, "part").select(
-        (k % 40).alias("batch_id"), F.floor(k / 40).cast("int").alias("position"),
+        F.floor(k / 40).alias("batch_id"), (k % 40).cast("int").alias("position"),
         _pick(("npm", "pypi"), k).alias("ecosystem"), _text("Pkg", k).alias("name"), _text("1.", k % 7).alias("version"),
     )
 
@@ -275,9 +277,10 @@ def advisory_cache(spark, sf_dir):
 
 
 def _answers(spark, sf_dir):
-    """Ids per question, in positional batches; every seventh batch is short."""
+    """Ids per question, in positional batches of forty; every seventh batch is short."""
     q = _questions(spark, sf_dir)
-    ids = F.when(F.col("position") % 3 == 0, F.array(_text("A", F.col("position") % 10), _text("B", F.col("position") % 4))).otherwise(F.array().cast("array<string>"))
+    k = F.col("batch_id") * 40 + F.col("position")
+    ids = F.when(k % 3 == 0, F.array(_text("A", k % 600 * 2), _text("B", k % 40 * 2 + 1))).otherwise(F.array().cast("array<string>"))
     ordered = q.groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct("position", ids.alias("ids")))).alias("all"))
     whole = F.transform("all", lambda x: x["ids"])
     results = F.when(F.col("batch_id") % 7 == 0, F.slice(whole, F.lit(1), F.size(whole) - 1)).otherwise(whole)
@@ -285,17 +288,21 @@ def _answers(spark, sf_dir):
 
 
 def _details(spark, sf_dir):
-    """One description per supplier: id, JSON text."""
+    """One description per supplier: id, JSON text; the fix is on record for one package of each even id."""
     s = F.col("s_suppkey")
     body = F.struct(
-        F.when(s % 5 != 0, F.concat(_pick(("A", "B"), s), (s % 10).cast("string"))).alias("id"),
-        F.when(s % 2 == 0, F.array(F.lit("GHSA-1"), _text("CVE-2024-", s % 10))).alias("aliases"),
-        F.when(s % 3 != 0, _text("First ", s % 10, "\nsecond")).alias("summary"),
+        F.when(s % 5 != 0, _text(_pick(("A", "B"), s), s)).alias("id"),
+        F.when(s % 2 == 0, F.array(F.lit("GHSA-1"), _text("CVE-2024-", s))).alias("aliases"),
+        F.when(s % 3 != 0, _text("First ", s, "\r\nsecond")).alias("summary"),
         F.array(F.struct(F.lit("CVSS_V3").alias("type"), _pick(("9.8", "CVSS:3.1/AV:N", "5"), s).alias("score"))).alias("severity"),
         F.struct(F.when(s % 4 == 0, _pick(("high", "MODERATE"), F.floor(s / 4))).alias("severity")).alias("database_specific"),
+        F.array(F.struct(
+            F.struct(_pick(("npm", "PyPI"), F.floor(s / 2)).alias("ecosystem"), _text("PKG", F.floor(s / 2)).alias("name")).alias("package"),
+            F.array(F.struct(F.array(F.struct(F.lit("0").alias("introduced"), F.lit(None).cast("string").alias("fixed")),
+                                     F.struct(F.lit(None).cast("string").alias("introduced"), _text("1.2.", s).alias("fixed"))).alias("events"))).alias("ranges"),
+        )).alias("affected"),
     )
-    key = F.concat(_pick(("A", "B"), s), (s % 10).cast("string"))
-    return read(spark, sf_dir, "supplier").where(s < 10).select(key.alias("id"), F.to_json(body).alias("body"))
+    return read(spark, sf_dir, "supplier").select(_text(_pick(("A", "B"), s), s).alias("id"), F.to_json(body).alias("body"))
 
 
 def advisory_positions(spark, sf_dir):
@@ -303,7 +310,7 @@ def advisory_positions(spark, sf_dir):
 
 
 def advisory_ids(spark, sf_dir):
-    return adv.capped_ids(_answers(spark, sf_dir), 8)
+    return adv.ids_to_fetch(_answers(spark, sf_dir))
 
 
 def advisory_details(spark, sf_dir):
@@ -314,16 +321,25 @@ def advisory_details(spark, sf_dir):
 # --- excerpts ----------------------------------------------------------------------------------------
 
 
-def document_excerpts(spark, sf_dir):
+def _document_excerpts(spark, sf_dir, max_lines):
     """Windows of two lines around two lines of each document, whole text in."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
     size = F.size(F.split("content", "\n"))
     first = docs.select("doc_id", (F.col("doc_id") % size + 1).cast("int").alias("line"), F.lit(None).cast("int").alias("end_line"))
     second = docs.select("doc_id", (F.col("doc_id") * 7 % size + 1).cast("int").alias("line"), F.lit(None).cast("int").alias("end_line"))
-    cut = excerpts(docs, first.unionByName(second), ["doc_id"], 2, 8)
+    cut = excerpts(docs, first.unionByName(second), ["doc_id"], 2, max_lines)
     return cut.select("doc_id", F.sha2("text", 256).alias("digest"), "start_line", "end_line", "truncated")
 
 
+def document_excerpts(spark, sf_dir):
+    return _document_excerpts(spark, sf_dir, 10)
+
+
+def document_excerpts_clipped(spark, sf_dir):
+    """The same with a budget of eight lines, which overlong excerpts exceed."""
+    return _document_excerpts(spark, sf_dir, 8)
+
+
 QUERIES = {
     "patch_lines": patch_lines,
     "patch_lines_in_row": patch_lines_in_row,
@@ -341,6 +357,7 @@ QUERIES = {
     "advisory_ids": advisory_ids,
     "advisory_details": advisory_details,
     "document_excerpts": document_excerpts,
+    "document_excerpts_clipped": document_excerpts_clipped,
 }
 
 _POPULAR_SQL = "[" + ",".join(_q(p) for p in POPULAR_NPM_PACKAGES) + "]"
@@ -354,28 +371,31 @@ def _key_sql(v: str) -> str:
     return f"list_resize([cast(x as int) for x in string_split(string_split({v},'-')[1],'.')], 6, 0)"
 
 
-_QUESTIONS_SQL = """q as (select p_partkey k, p_partkey%40 batch_id, cast(floor(p_partkey/40) as int) as position,
+_QUESTIONS_SQL = """q as (select p_partkey k, cast(floor(p_partkey/40) as bigint) batch_id, cast(p_partkey%40 as int) as position,
   (['npm','pypi'])[cast(p_partkey%2+1 as int)] eco, concat('Pkg',p_partkey) name from part)"""
 _ANSWERS_SQL = f"""with {_QUESTIONS_SQL},
-a as (select *, case when position%3=0 then [concat('A',position%10), concat('B',position%4)] else [] end ids
+a as (select *, case when k%3=0 then [concat('A',k%600*2), concat('B',k%40*2+1)] else [] end ids
       from q where batch_id%7<>0)"""
 
-_EXCERPTS_SQL = """with t as (select doc_id, string_split(text, chr(10)) ls from documents),
+def _excerpts_sql(most: int) -> str:
+    return f"""with t as (select doc_id, string_split(text, chr(10)) ls from documents),
 f as (select doc_id, ls, len(ls) n, unnest([doc_id % len(ls) + 1, doc_id*7 % len(ls) + 1]) line from t),
 c as (select distinct doc_id, n, unnest(range(greatest(1, line-2), least(n, line+2)+1)) ln from f),
 k as (select *, row_number() over (partition by doc_id order by ln) k, count(*) over (partition by doc_id) total from c),
-g as (select *, ln - k as island from k where k <= 8),
+g as (select *, ln - k as island from k where k <= {most}),
 w as (select doc_id, island, min(ln) lo, max(ln) hi, max(total) total,
         string_agg(concat(lpad(cast(ln as varchar), 5, ' '), '  ', ls[ln]), chr(10) order by ln) body
       from g join t using (doc_id) group by doc_id, island),
-x as (select doc_id, min(lo) lo, max(hi) hi, max(total) > 8 truncated,
+x as (select doc_id, min(lo) lo, max(hi) hi, max(total) > {most} truncated,
         concat(string_agg(body, concat(chr(10), '    ...', chr(10)) order by lo),
-               case when max(total) > 8 then concat(chr(10), '    ... (excerpt truncated)') else '' end) body from w group by 1)
-"""
+               case when max(total) > {most} then concat(chr(10), '    ... (excerpt truncated)') else '' end) body from w group by 1)
+select doc_id, sha256({_scrubbed_sql("body")}) digest,
+        cast(lo as int) start_line, cast(hi as int) end_line, truncated from x"""
+
 
 ORACLES = {
-    "document_excerpts": f"""{_EXCERPTS_SQL} select doc_id, sha256({_scrubbed_sql("body")}) digest,
-        cast(lo as int) start_line, cast(hi as int) end_line, truncated from x""",
+    "document_excerpts": _excerpts_sql(10),
+    "document_excerpts_clipped": _excerpts_sql(8),
     "patch_lines": _PATCH_LINES_SQL,
     "patch_lines_in_row": _PATCH_LINES_SQL,
     "patch_facts": f"""{_PATCH_SQL} select id, concat(b+1,',',b+2,',',b+105) changed,
@@ -410,7 +430,7 @@ ORACLES = {
         else 'mismatch' end state, count(*) n from events group by 1""",
     "verdict_answers": f"""with t as (select *, conv_id*100+turn k from conversations),
         v as (select conv_id, turn, k, concat('fp',k%50) fingerprint, {_pick_sql((*VERDICTS, "maybe"), "k")} verdict,
-          trim(case when k%13<>0 then substr(text,1,20) else '  ' end) reasoning, case when k%2=0 then 'patch it' end fix,
+          case when k%13<>0 then regexp_replace(text, '^\s+|\s+$', '', 'g') else '' end reasoning, case when k%2=0 then 'patch it' end fix,
           {_pick_sql(SEVERITIES, "k")} wanted, {_pick_sql((*CONFIDENCES, "sure"), "k")} c0, {_pick_sql(SEVERITIES, "turn")} asked from t
           where conv_id%4<>1),
         w as (select *, case when c0='sure' then 'medium' else c0 end confidence,
@@ -440,14 +460,14 @@ ORACLES = {
     "advisory_cache": f"""with {_QUESTIONS_SQL} select name, case when k%6=0 then 'cached' else 'pending' end state from q""",
     "advisory_positions": f"{_ANSWERS_SQL} select batch_id, position, name, array_to_string(ids,',') ids from a",
     "advisory_ids": f"""{_ANSWERS_SQL}, u as (select batch_id, position, unnest(ids) id, generate_subscripts(ids,1) i from a),
-        f as (select id, row_number() over (order by min((batch_id*1000000+position)*10+i), id) k from u group by id)
-        select id from f where k<=8""",
+        select distinct id from u""",
     "advisory_details": f"""{_ANSWERS_SQL},
-        s as (select s_suppkey s, concat((['A','B'])[cast(s_suppkey%2+1 as int)], s_suppkey%10) id from supplier where s_suppkey<10),
-        d as (select id, case when s%2=0 then concat('CVE-2024-',s%10) when s%5<>0 then id else 'unknown' end cve,
+        s as (select s_suppkey s, concat((['A','B'])[cast(s_suppkey%2+1 as int)], s_suppkey) id from supplier),
+        d as (select id, case when s%2=0 then concat('CVE-2024-',s) when s%5<>0 then id else 'unknown' end cve, s,
           case when s%4=0 then (case floor(s/4)%2 when 0 then 'high' else 'medium' end)
                else (['critical','medium','medium'])[cast(s%3+1 as int)] end severity,
-          case when s%3<>0 then concat('First ',s%10) else 'No summary published.' end summary from s),
-        u as (select unnest(ids) id from a)
-        select cve, severity, 'a later version' fixed_in, summary, count(*) n from u join d using (id) group by 1,2,4""",
+          case when s%3<>0 then concat('First ',s) else 'No summary published.' end summary from s),
+        u as (select k, unnest(ids) id from a)
+        select cve, severity, case when k=floor(s/2) then concat('1.2.',s) else 'a later version' end fixed_in, summary, count(*) n
+        from u join d using (id) group by 1,2,3,4""",
 }

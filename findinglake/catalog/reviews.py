@@ -140,7 +140,7 @@ def worst(spark, sf_dir):
 
 
 def _capped(spark, sf_dir):
-    return pl.cap_results(_full(spark, sf_dir), KEYS, 8, 600)
+    return pl.cap_results(_full(spark, sf_dir), KEYS)
 
 
 def sarif_rules(spark, sf_dir):
@@ -173,7 +173,7 @@ def _places(spark, sf_dir):
         "repository_id", "file_path",
         (F.col("pkey") % 400 + 1).cast("int").alias("line"),
         F.when(F.col("okey") % 5 == 0, (F.col("pkey") % 400 + 3).cast("int")).alias("end_line"),
-    ).where(F.col("okey") % 2000 < F.col("repository_id") + 1)
+    )
 
 
 def _lengths(spark, sf_dir):
@@ -216,13 +216,17 @@ f0 as (select repository_id, fingerprint, rule_id, category, severity,
 f as (select *, row_number() over (partition by repository_id
     order by {_SEV}, {_CONF}, file_path, line, fingerprint) ord from f0)
 """
-_CAPPED = f"""{_BASE},
-c1 as (select * from (select *, row_number() over (partition by repository_id, rule_id order by ord) rr from f) q where rr<=8),
-c as (select * from (select *, row_number() over (partition by repository_id order by ord) rt from c1) q where rt<=600),
+def _capped_sql(per_rule: int, total: int) -> str:
+    return f"""{_BASE},
+c1 as (select * from (select *, row_number() over (partition by repository_id, rule_id order by ord) rr from f) q where rr<={per_rule}),
+c as (select * from (select *, row_number() over (partition by repository_id order by ord) rt from c1) q where rt<={total}),
 ruleset as (select repository_id, rule_id, row_number() over (partition by repository_id order by rule_id)-1 rule_index,
     min({_SEV})-1 worst_rank, count(*) results, arg_min(category, ord) category, arg_min(confidence, ord) as "precision"
     from c group by repository_id, rule_id)
 """
+
+
+_CAPPED = _capped_sql(1000, 25000)
 _PLAN = f"""{_BASE},
 posted as (select distinct repository_id, fingerprint from obs where okey%11=0),
 shown as (select distinct repository_id, file_path, line from obs where okey%3=0 and line<=4),
@@ -252,7 +256,7 @@ ORACLES = {
     "severity_override": f"""{_BASE} select rule_id, case
           when rule_id='ECONOMY/Brand#11' then 'info' when rule_id='LARGE/Brand#3' then 'critical'
           when category='PROMO' then 'low' else severity end severity, count(*) n from f group by 1,2""",
-    "sarif_caps": f"{_CAPPED} select repository_id, fingerprint, rule_id from c",
+    "sarif_caps": f"{_capped_sql(8, 600)} select repository_id, fingerprint, rule_id from c",
     "sarif_rules": f"""{_CAPPED} select repository_id, rule_id, cast(rule_index as int) rule_index,
           concat(upper(category[1]), category[2:], 'Brand', regexp_extract(rule_id, '[0-9]+$')) as name,
           {_LEVEL}[worst_rank+1] as level,
@@ -313,7 +317,7 @@ ORACLES = {
     "excerpt_windows": f"""with {OBSERVATIONS_SQL},
         p as (select repository_id, file_path, cast(greatest(1, pkey%400+1-3) as int) start,
               cast(least(400, case when okey%5=0 then pkey%400+3 else pkey%400+1 end + 3) as int) stop
-              from obs where okey%2000 < repository_id+1),
+              from obs),
         covered as (select distinct repository_id, file_path, unnest(range(start, stop+1)) ln from p),
         isl as (select *, ln - row_number() over (partition by repository_id, file_path order by ln) g from covered),
         w as (select repository_id, file_path, min(ln) start, max(ln) stop from isl group by repository_id, file_path, g),

@@ -37,7 +37,6 @@ MAX_RENDERED = 40
 MAX_INLINE_COMMENTS = 15
 SARIF_MAX_RESULTS = 25_000
 SARIF_MAX_RESULTS_PER_RULE = 1_000
-ADVISORY_DETAIL_CAP = 40
 ADVISORY_CACHE_HOURS = 6
 SNIPPET_CHARS = 200
 FINGERPRINT_HEX = 20

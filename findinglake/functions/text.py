@@ -14,6 +14,11 @@ def flatten_space(text: Column) -> Column:
     return F.trim(substitute(text, r"\s+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space at either end, of any kind that the patterns know."""
+    return F.regexp_replace(text, java(r"^\s+|\s+$"), "")
+
+
 def truncate(text: Column, limit: int = SNIPPET_CHARS) -> Column:
     flat = flatten_space(text)
     return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit - 3), F.lit("..."))).otherwise(flat)

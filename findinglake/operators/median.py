@@ -4,21 +4,23 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def exact_median(df: DataFrame, column: str, as_of: datetime) -> DataFrame:
+def exact_median(df: DataFrame, column: str, as_of: datetime, weight: Column) -> DataFrame:
     """One row, one column: median of (as_of - column) in days, one decimal.
 
+    A row counts `weight` times; null is not at all.
+
     Narrow in steps: equal timestamps collapse to counts, the counts add up to
     a per-day histogram, and only the day or two that hold the middle ranks are
     opened. The global window sees one row per day; the inner one sees one row
     per distinct timestamp of a day.
     """
     at = F.col(column)
-    ticks = df.groupBy(F.to_date(at).alias("d"), at.alias("t")).agg(F.count("*").alias("n"))
+    ticks = df.groupBy(F.to_date(at).alias("d"), at.alias("t")).agg(F.coalesce(F.sum(weight), F.lit(0)).alias("n"))
     days = ticks.groupBy("d").agg(F.sum("n").alias("n"))
     before = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()

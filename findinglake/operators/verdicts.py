@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..fixed_values.enums import CONFIDENCES, VERDICTS
+from ..functions.text import strip
 from .planning import adjusted_severity
 
-VERDICT_LIST = (
-    "array<struct<fingerprint:string,verdict:string,reasoning:string,fix:string,severity:string,confidence:string>>"
-)
+_FIELDS = ("fingerprint", "verdict", "reasoning", "fix", "severity", "confidence")
 
 
 def first_json_object(text: Column) -> Column:
@@ -43,23 +42,34 @@ def first_json_object(text: Column) -> Column:
     return extract(text)
 
 
+def _listed(answer: Column) -> Column:
+    """The items of an answer's list, whatever each of them is."""
+    return F.try_variant_get(F.try_parse_json(answer), "$.findings", "array<variant>")
+
+
+def _text_of(item: str, field: str) -> Column:
+    """A field of an item that is an object, if it is a string; a number is no text."""
+    value = F.try_variant_get(F.col(item), f"$.{field}", "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(F.col(item), f"$.{field}", "string"))
+
+
 def parse_verdicts(answers: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
     """Valid verdicts for findings that were asked about.
 
     answers: keys, tool_json, text, model. The tool call's list wins; free text
-    is searched only without one. Unknown fingerprints, verdicts outside the
-    scale and empty reasoning are dropped; a strange confidence becomes medium;
+    is searched only without one. Items are read one by one: what is no object,
+    an unknown fingerprint, a verdict outside the scale or a reasoning that is
+    no text or blank drops that item and no other; a strange confidence becomes medium;
     the last verdict on a fingerprint counts.
     """
-    from_tool = F.from_json("tool_json", f"struct<findings:{VERDICT_LIST}>")["findings"]
-    from_text = F.from_json(
-        F.when(F.contains("text", F.lit("{")), first_json_object(F.col("text"))), f"struct<findings:{VERDICT_LIST}>"
-    )["findings"]
-    items = answers.select(*keys, "model", F.posexplode(F.coalesce(from_tool, from_text)).alias("at", "v"))
+    from_tool = _listed(F.col("tool_json"))
+    from_text = _listed(F.when(F.contains("text", F.lit("{")), first_json_object(F.col("text"))))
+    found = answers.select(*keys, "model", F.posexplode(F.coalesce(from_tool, from_text)).alias("at", "item"))
+    items = found.select(*keys, "model", "at", F.struct(*(_text_of("item", f).alias(f) for f in _FIELDS)).alias("v"))
     confidence = F.when(F.col("v.confidence").isin(*CONFIDENCES), F.col("v.confidence")).otherwise("medium")
     usable = items.select(
         *keys, "model", "at", F.col("v.fingerprint").alias("fingerprint"), F.col("v.verdict").alias("verdict"),
-        F.trim("v.reasoning").alias("reasoning"), F.nullif(F.trim("v.fix"), F.lit("")).alias("fix"),
+        strip(F.col("v.reasoning")).alias("reasoning"), F.nullif(strip(F.col("v.fix")), F.lit("")).alias("fix"),
         F.col("v.severity").alias("requested"), confidence.alias("confidence"),
     ).where(F.col("verdict").isin(*VERDICTS) & (F.col("reasoning") != ""))
     last = usable.groupBy(*keys, "fingerprint").agg(

@@ -99,29 +99,37 @@ def _seconds_between(start: str, end: str) -> Column:
 
 
 def overview(store: Store, flt: StatsFilter) -> DataFrame:
-    """One row: balances, window counts, mean time to resolve, median open age."""
+    """One row: balances, window counts, mean time to resolve, median open age.
+
+    Equal rows are counted once, by keys that both the measures and the median
+    need whole, so the two share one reading of the state.
+    """
     is_open = F.col("status") == "open"
-    rows = _state(store, flt)
+    rows = _state(store, flt).groupBy(
+        "repository_id", "status", "severity", "category", "first_seen_at", "resolved_at"
+    ).agg(F.count("*").alias("n"))
+
+    def counted(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+    resolved = F.col("resolved_at").isNotNull()
+    seconds = F.sum(F.when(resolved, F.col("n") * _seconds_between("first_seen_at", "resolved_at")))
     measures = [
-        F.count_if(is_open).alias("total_open"),
-        F.count_if(F.col("status") == "resolved").alias("total_resolved"),
-        *[F.count_if(is_open & (F.col("severity") == s)).alias(f"open_{s}") for s in SEVERITIES],
+        counted(is_open).alias("total_open"),
+        counted(F.col("status") == "resolved").alias("total_resolved"),
+        *[counted(is_open & (F.col("severity") == s)).alias(f"open_severity_{s}") for s in SEVERITIES],
         *[
-            F.count_if(is_open & (F.col("category") == c)).alias(f"open_{c.lower().replace('-', '_')}")
+            counted(is_open & (F.col("category") == c)).alias(f"open_category_{c.lower().replace('-', '_')}")
             for c in store.categories
         ],
         F.count_distinct("repository_id").alias("repositories_tracked"),
-        F.count_if(F.col("first_seen_at") >= flt.since).alias("introduced_in_window"),
-        F.count_if(F.col("resolved_at") >= flt.since).alias("resolved_in_window"),
-        F.round(
-            F.sum(F.when(F.col("resolved_at").isNotNull(), _seconds_between("first_seen_at", "resolved_at")))
-            / F.count("resolved_at") / 3600.0,
-            1,
-        ).alias("mean_time_to_resolve_hours"),
+        counted(F.col("first_seen_at") >= flt.since).alias("introduced_in_window"),
+        counted(F.col("resolved_at") >= flt.since).alias("resolved_in_window"),
+        F.round(seconds / F.sum(F.when(resolved, F.col("n"))) / 3600.0, 1).alias("mean_time_to_resolve_hours"),
     ]
     repos = _repos(store, flt).select(F.col("id").alias("rid"))
     in_window = store.scans.join(repos, F.col("repository_id") == F.col("rid")).agg(F.count_if(F.col("created_at") >= flt.since).alias("scans_in_window"))
-    median = exact_median(rows.where(is_open).select("first_seen_at"), "first_seen_at", flt.as_of)
+    median = exact_median(rows, "first_seen_at", flt.as_of, F.when(is_open, F.col("n")))
     return rows.agg(*measures).select(
         "*",
         in_window.scalar().alias("scans_in_window"),

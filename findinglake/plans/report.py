@@ -185,21 +185,21 @@ def sarif_documents(
     return rule_lists.join(result_lists, keys).join(totals, keys).select(*keys, F.to_json(document).alias("sarif"))
 
 
-def severity_tally(keys: list[str], findings: DataFrame) -> DataFrame:
-    """Counts of the findings that are not refuted, by severity, per review."""
+def severity_tally(keys: list[str], findings: DataFrame, *more: Column) -> DataFrame:
+    """Counts of the findings that are not refuted, by severity, per review; `more` is counted in the same pass."""
     refuted = F.coalesce(F.col("verdict") == "refuted", F.lit(False))
     return findings.groupBy(*keys).agg(
         *[F.count_if(~refuted & (F.col("severity") == s)).alias(s) for s in E.SEVERITIES],
         F.count_if(~refuted).alias("active"),
         F.count_if(refuted).alias("refuted"),
         F.min(F.when(~refuted, severity_rank(F.col("severity")))).alias("worst_rank"),
+        *more,
     )
 
 
 def status_lines(findings: DataFrame, keys: list[str], fail_on: str) -> DataFrame:
     """The one-line commit status of each review."""
-    gate = findings.groupBy(*keys).agg(F.count_if(blocking(fail_on)).alias("blocking"))
-    counts = severity_tally(keys, findings).join(gate, keys)
+    counts = severity_tally(keys, findings, F.count_if(blocking(fail_on)).alias("blocking"))
     shown = F.array_compact(
         F.array(*[F.when(F.col(s) > 0, F.concat_ws(" ", F.col(s).cast("string"), F.lit(s))) for s in E.SEVERITIES])
     )

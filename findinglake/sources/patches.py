@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..fixed_values import patterns as P
 from ..functions.dialect import bind, capture, matches
+from ..functions.text import strip
 
 LINE = "struct<hunk:int,kind:string,content:string,new_line:int,old_line:int,position:int>"
 _STATE = "struct<hunk:int,new:int,old:int,position:int>"
@@ -199,7 +200,7 @@ def split_multi_file_diff(diffs: DataFrame, keys: list[str], diff: str = "diff")
         lambda x: x,
     )
     named = shaped.withColumn("named", at_path).where(F.size("named") > 0)
-    target = F.trim(F.expr("substr(try_element_at(named, -1).l, 5)"))
+    target = strip(F.expr("substr(try_element_at(named, -1).l, 5)"))
     first_at = F.get(F.col("named"), 0)["i"]
     body = F.filter(
         F.transform("lines", lambda l, i: F.when(i > first_at, l)),

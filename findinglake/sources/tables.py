@@ -27,32 +27,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_history(spark: SparkSession, root: str) -> Store:
-    """Open a history written by `operators.lifecycle` under one directory."""
-    from ..schemas import FINDING_STATE, OBSERVATIONS, REPOSITORIES, SCANS, conform
-
-    return Store(
-        repositories=conform(spark.read.parquet(f"{root}/repositories"), REPOSITORIES),
-        scans=conform(spark.read.parquet(f"{root}/scans"), SCANS),
-        finding_state=conform(spark.read.parquet(f"{root}/finding_state"), FINDING_STATE),
-        findings=conform(spark.read.parquet(f"{root}/findings"), OBSERVATIONS),
-    )
-
-
-_SPLIT_BYTES = 128 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of an input too small to be split that far.
-
-    The planner's size estimate decides, so nothing runs to find out. An input
-    of cluster size is left as it is: its text is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * _SPLIT_BYTES else df
-
-
 def hashed(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(" ", *parts), 256), 1, 20)
 
