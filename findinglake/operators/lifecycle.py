@@ -76,16 +76,25 @@ def _fold_batch(batch: DataFrame) -> DataFrame:
     )
 
 
-def apply_scan(state: DataFrame, batch: DataFrame, examined: DataFrame, as_of: Column) -> DataFrame:
+def apply_scan(
+    state: DataFrame, batch: DataFrame, examined: DataFrame, as_of: Column, times: DataFrame | None = None
+) -> DataFrame:
     """The state table after one batch.
 
     Seen keys are (re)opened and refreshed; examined-but-absent keys close;
-    the rest is untouched. New keys start at `as_of`; a reopened key keeps its
-    first_seen_at.
+    the rest is untouched. New keys start at the time of their repository's
+    scan, which `times` (repository_id, scanned_at) tells, else at `as_of`; a
+    reopened key keeps its first_seen_at.
     """
     seen = _fold_batch(batch)
     closed = resolved_findings(state, batch, examined).select(*KEY, F.lit(True).alias("b_closed"))
     delta = seen.withColumn("b_closed", F.lit(False)).unionByName(closed, allowMissingColumns=True)
+    at = F.lit(None).cast("timestamp_ntz")
+    if times is None:
+        delta = delta.withColumn("b_at", at)
+    else:
+        own = times.select("repository_id", F.col("scanned_at").cast("timestamp_ntz").alias("b_at"))
+        delta = delta.join(own, "repository_id", "left")
     old = state.withColumn("s_known", F.lit(True))
     both = old.join(delta, KEY, "full_outer")
     was_seen = F.col("b_identity").isNotNull()
@@ -95,7 +104,7 @@ def apply_scan(state: DataFrame, batch: DataFrame, examined: DataFrame, as_of: C
     def refreshed(name: str) -> Column:
         return F.when(was_seen, F.col(f"b_latest.{name}")).otherwise(F.col(name)).alias(name)
 
-    now = as_of.cast("timestamp_ntz")
+    now = F.coalesce(F.col("b_at"), as_of.cast("timestamp_ntz"))
     return both.select(
         *KEY,
         F.when(fresh, F.col("b_identity.rule_id")).otherwise(F.col("rule_id")).alias("rule_id"),
@@ -156,10 +165,15 @@ def dense_ids(names: DataFrame, column: str, start: Column) -> DataFrame:
 
 
 def with_new_repositories(repositories: DataFrame, names: DataFrame, as_of: Column) -> DataFrame:
-    """Existing repositories plus an id for every name not seen before."""
+    """Existing repositories plus an id for every name not seen before, made at its scanned_at if `names` has one."""
     unseen = names.select("full_name").join(repositories.select("full_name"), "full_name", "left_anti")
     top = repositories.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    created = dense_ids(unseen, "full_name", top.scalar()).withColumn("created_at", as_of.cast("timestamp_ntz"))
+    created = dense_ids(unseen, "full_name", top.scalar())
+    if "scanned_at" in names.columns:
+        first = names.groupBy("full_name").agg(F.min("scanned_at").cast("timestamp_ntz").alias("created_at"))
+        created = created.join(first, "full_name")
+    else:
+        created = created.withColumn("created_at", as_of.cast("timestamp_ntz"))
     return repositories.unionByName(created.select("id", "full_name", "created_at"))
 
 
@@ -168,7 +182,7 @@ class ScanBatch:
     """One scan per repository, keyed by repository name.
 
     scans: full_name, pull_request_number, head_sha, base_sha, title, author,
-    files_scanned, duration_ms. findings: full_name, seq, finding columns and
+    files_scanned, duration_ms, and scanned_at unless all ran at one time. findings: full_name, seq, finding columns and
     optional verdict columns. examined: full_name, path, lines.
     """
 
@@ -180,6 +194,7 @@ class ScanBatch:
 class History:
     """Versioned parquet history.
 
+    One writer at a time: a batch that finds its version taken is refused.
     Each batch writes `version=N` folders and then one commit row. Readers
     only follow committed versions, and a retried batch overwrites its own
     folders, so a lost executor or a failed driver leaves no half-applied scan.
@@ -232,9 +247,12 @@ class History:
         store = self.tables(before)
         now = F.lit(as_of).cast("timestamp_ntz")
         nxt = before + 1
+        timed = "scanned_at" in batch.scans.columns
 
         repositories = self._write(
-            with_new_repositories(store.repositories, batch.scans.select("full_name").distinct(), now),
+            with_new_repositories(
+                store.repositories, batch.scans.select("full_name", *(["scanned_at"] if timed else [])).distinct(), now
+            ),
             "repositories", nxt,
         )
         ids = repositories.select(F.col("id").alias("repository_id"), "full_name")
@@ -252,16 +270,19 @@ class History:
             runs.join(numbered, "full_name")
             .join(counts, "repository_id", "left")
             .na.fill(0, ["findings_count", "new_findings_count", "resolved_findings_count"])
-            .withColumn("created_at", now)
+            .withColumn("created_at", F.coalesce(F.col("scanned_at").cast("timestamp_ntz"), now) if timed else now)
         )
         scans = self._write(conform(scans, SCANS), "scans", nxt)
         sightings = findings.join(
-            scans.select(F.col("id").alias("scan_id"), "repository_id"), "repository_id"
-        ).withColumn("created_at", now)
+            scans.select(F.col("id").alias("scan_id"), "repository_id", "created_at"), "repository_id"
+        )
         self._write(conform(sightings, OBSERVATIONS), "findings", nxt)
         self._write(
-            conform(apply_scan(store.finding_state, findings, examined, now), FINDING_STATE), "finding_state", nxt
+            conform(apply_scan(store.finding_state, findings, examined, now, runs if timed else None), FINDING_STATE),
+            "finding_state", nxt,
         )
+        if self.version() != before:
+            raise RuntimeError(f"another writer committed version {nxt} meanwhile; this batch is not recorded")
         commit = self.spark.createDataFrame([(nxt,)], "version long")
         commit.coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
         return nxt

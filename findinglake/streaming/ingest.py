@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from ..operators.lifecycle import History, ScanBatch
 from ..sources.webhooks import parse_events
@@ -47,12 +48,13 @@ def record_stream(
     A row is one finished scan: full_name, scanned_at, scan columns, findings
     (array), examined (array). Scans of one repository inside a micro-batch are
     applied in their order, each round taking the next scan of every
-    repository. A replayed micro-batch starts from the committed version.
+    repository. A scan is known by its repository, time and head: one that the
+    history has already is left out, so a micro-batch that is replayed, with
+    the same checkpoint or a fresh one, after any of its rounds, changes nothing.
     """
 
     def apply(batch: DataFrame, _epoch: int) -> None:
-        from pyspark.sql.window import Window
-
+        batch = unrecorded(batch, history)
         order = Window.partitionBy("full_name").orderBy("scanned_at")
         # Persisted because each round reads it; sized by one micro-batch.
         rounds = batch.withColumn("round", F.row_number().over(order)).persist()
@@ -73,6 +75,22 @@ def record_stream(
     )
 
 
+def unrecorded(scans: DataFrame, history: History) -> DataFrame:
+    """The scans, each once, that the history does not hold."""
+    if "head_sha" not in scans.columns:
+        scans = scans.withColumn("head_sha", F.lit(None).cast("string"))
+    store = history.tables()
+    known = store.scans.join(
+        store.repositories.select(F.col("id").alias("repository_id"), F.col("full_name").alias("k_name")), "repository_id"
+    ).select("k_name", F.col("created_at").alias("k_at"), F.col("head_sha").alias("k_sha"))
+    same = (
+        (F.col("full_name") == F.col("k_name"))
+        & (F.col("scanned_at").cast("timestamp_ntz") == F.col("k_at"))
+        & F.col("head_sha").eqNullSafe(F.col("k_sha"))
+    )
+    return scans.dropDuplicates(["full_name", "scanned_at", "head_sha"]).join(known, same, "left_anti")
+
+
 def _record(scans: DataFrame, history: History) -> None:
     findings = scans.select("full_name", F.posexplode("findings").alias("seq", "f")).select("full_name", "seq", "f.*")
     examined = scans.select("full_name", F.explode("examined").alias("e")).select("full_name", "e.path", "e.lines")

@@ -1,13 +1,14 @@
 import hashlib
 import hmac
 import json
+import pytest
 import random
 import re
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from findinglake.operators.lifecycle import History
+from findinglake.operators.lifecycle import History, ScanBatch
 from findinglake.sources import advisories as adv
 from findinglake.sources import patches as pt
 from findinglake.sources.files import collect_from_paths
@@ -161,3 +162,57 @@ def test_scan_stream_feeds_the_history(spark, tmp_path):
     assert history.version() == 2
     row = history.tables().finding_state.first()
     assert (row.status, row.first_seen_at.day, row.resolved_at.day) == ("resolved", 1, 2)
+
+
+def test_replayed_stream_changes_nothing_and_each_repository_keeps_its_time(spark, tmp_path):
+    inbox = tmp_path / "scans"
+    inbox.mkdir()
+    hit = {"fingerprint": "x", "rule_id": "r/x", "category": "secrets", "severity": "high", "file_path": "a.py", "line": 3, "title": "t"}
+    rows = [
+        {"full_name": name, "scanned_at": f"2024-01-0{day}T00:00:00", "pull_request_number": day, "files_scanned": 1,
+         "findings": [hit], "examined": [{"path": "a.py", "lines": None}]}
+        for name, day in (("o/a", 1), ("o/b", 5), ("o/b", 6))
+    ]
+    (inbox / "1.json").write_text("\n".join(json.dumps(r) for r in rows))
+    schema = spark.createDataFrame(
+        [], "full_name string, scanned_at timestamp_ntz, pull_request_number long, files_scanned long, "
+        "findings array<struct<fingerprint:string,rule_id:string,category:string,severity:string,file_path:string,line:int,title:string>>, "
+        "examined array<struct<path:string,lines:array<int>>>"
+    ).schema
+    history = History(spark, str(tmp_path / "history"))
+
+    def contents():
+        store = history.tables()
+        return [sorted(map(str, t.collect())) for t in (store.repositories, store.scans, store.finding_state, store.findings)]
+
+    ingest.record_stream(spark, str(inbox), schema, history, str(tmp_path / "ck1")).awaitTermination(180)
+    before = contents()
+    assert [len(t) for t in before] == [2, 3, 2, 3]
+    seen = {r.full_name: (r.first_seen_at.day, r.last_seen_at.day) for r in history.tables().finding_state.join(
+        history.tables().repositories.withColumnRenamed("id", "repository_id"), "repository_id").collect()}
+    assert seen == {"o/a": (1, 1), "o/b": (5, 6)}
+    ingest.record_stream(spark, str(inbox), schema, history, str(tmp_path / "ck2")).awaitTermination(180)
+    assert contents() == before
+
+
+def test_a_second_writer_is_refused(spark, tmp_path, monkeypatch):
+    history = History(spark, str(tmp_path / "history"))
+    versions = iter([0, 1])
+    monkeypatch.setattr(history, "version", lambda: next(versions))
+    scans = spark.createDataFrame([("o/a", 1)], "full_name string, pull_request_number long")
+    findings = spark.createDataFrame([], "full_name string, seq int, fingerprint string, rule_id string, category string, severity string, "
+                                     "file_path string, line int, title string")
+    examined = spark.createDataFrame([("o/a", "a.py", None)], "full_name string, path string, lines array<int>")
+    with pytest.raises(RuntimeError):
+        history.record(ScanBatch(scans, findings, examined), datetime(2024, 1, 1))
+
+
+def test_verdicts_are_read_item_by_item(spark):
+    from findinglake.operators.verdicts import parse_verdicts
+
+    good = {"fingerprint": "a", "verdict": "confirmed", "reasoning": "\n it is so \t", "fix": " \r\n", "severity": "high", "confidence": "high"}
+    items = ["oops", 3, None, good, {**good, "fingerprint": "b", "reasoning": 7}, {**good, "fingerprint": "c", "reasoning": " \n\t "}]
+    answers = spark.createDataFrame([(1, json.dumps({"findings": items}), None, "m")], "k int, tool_json string, text string, model string")
+    asked = spark.createDataFrame([(1, x, "high") for x in "abc"], "k int, fingerprint string, severity string")
+    rows = parse_verdicts(answers, asked, ["k"]).collect()
+    assert [(r.fingerprint, r.reasoning, r.fix) for r in rows] == [("a", "it is so", None)]
