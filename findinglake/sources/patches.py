@@ -15,7 +15,42 @@ from ..functions.dialect import bind, capture, matches
 from ..functions.text import strip
 
 LINE = "struct<hunk:int,kind:string,content:string,new_line:int,old_line:int,position:int>"
-_STATE = "struct<hunk:int,new:int,old:int,position:int>"
+
+
+def _numbered(body: Column, hunk: Column, place: Column, new: Column, old: Column) -> Column:
+    """Lines of one hunk with their numbers; `place` is the header's position.
+
+    The n-th line that is not removed has the n-th new number, the n-th that is
+    not added the n-th old one. The two numberings are laid side by side by one
+    sort, where an unchanged line stands twice in a row; nothing grows by copies.
+    """
+    signed = F.transform(body, lambda raw, i: F.struct(i.alias("i"), F.substring(raw, 1, 1).alias("sign"), raw.alias("raw")))
+
+    def counted(removed: str, side: int, first: Column) -> Column:
+        return F.transform(
+            F.filter(signed, lambda l: l["sign"] != removed),
+            lambda l, n: F.struct(l["i"].alias("i"), F.lit(side).alias("side"), (first + n).alias("n"), l["sign"].alias("sign"), l["raw"].alias("raw")),
+        )
+
+    def lines(rows: Column) -> Column:
+        both = F.transform(rows, lambda l, at: F.struct(l.alias("l"), F.get(rows, at + 1)["n"].alias("next")))
+        once = F.filter(both, lambda x: (x["l"]["side"] == 0) | (x["l"]["sign"] == "-"))
+
+        def line(x: Column) -> Column:
+            l = x["l"]
+            adds, drops = l["sign"] == "+", l["sign"] == "-"
+            return F.struct(
+                hunk.alias("hunk"),
+                F.when(adds, "add").when(drops, "del").otherwise("context").alias("kind"),
+                l["raw"].substr(F.lit(2), F.length(l["raw"])).alias("content"),
+                F.when(~drops, l["n"]).alias("new_line"),
+                F.when(drops, l["n"]).when(~adds, x["next"]).alias("old_line"),
+                (place + l["i"] + 1).alias("position"),
+            ).cast(LINE)
+
+        return F.transform(once, line)
+
+    return bind(F.sort_array(F.concat(counted("-", 0, new), counted("+", 1, old))), lines)
 
 
 def parsed_lines(patch: Column) -> Column:
@@ -24,59 +59,25 @@ def parsed_lines(patch: Column) -> Column:
     Text before the first header is ignored, a header takes a position, and
     the "no newline" note takes neither line nor position.
     """
-    rows = F.split(patch, "\n")
-    is_header = F.transform(rows, lambda r: matches(r, P.HUNK_HEADER))
-    # Each line: how many headers are above or at it, counted once per file.
-    tagged = F.filter(
-        F.transform(
-            rows,
-            lambda r, i: F.struct(
-                i.alias("i"),
-                r.alias("raw"),
-                F.element_at(is_header, i + 1).alias("header"),
-            ),
-        ),
-        lambda t: t["header"] | ~t["raw"].startswith("\\"),
-    )
-    shape = "struct<out:array<" + LINE + ">,at:" + _STATE + ">"
-    start = F.struct(
-        F.array().cast(f"array<{LINE}>").alias("out"),
-        F.struct(F.lit(0).alias("hunk"), F.lit(0).alias("new"), F.lit(0).alias("old"), F.lit(0).alias("position")).alias("at"),
-    ).cast(shape)
-
-    def step(acc: Column, t: Column) -> Column:
-        at, raw = acc["at"], t["raw"]
-        opened = F.struct(
-            acc["out"].alias("out"),
-            F.struct(
-                (at["hunk"] + 1).alias("hunk"),
-                capture(raw, P.HUNK_HEADER, 3).try_cast("int").alias("new"),
-                capture(raw, P.HUNK_HEADER, 1).try_cast("int").alias("old"),
-                (at["position"] + 1).alias("position"),
-            ).alias("at"),
-        ).cast(shape)
-        sign = F.substring(raw, 1, 1)
-        adds, drops = sign == "+", sign == "-"
-        line = F.struct(
-            at["hunk"].alias("hunk"),
-            F.when(adds, "add").when(drops, "del").otherwise("context").alias("kind"),
-            raw.substr(F.lit(2), F.length(raw)).alias("content"),
-            F.when(~drops, at["new"]).alias("new_line"),
-            F.when(~adds, at["old"]).alias("old_line"),
-            (at["position"] + 1).alias("position"),
-        ).cast(LINE)
-        moved = F.struct(
-            F.concat(acc["out"], F.array(line)).alias("out"),
-            F.struct(
-                at["hunk"].alias("hunk"),
-                (at["new"] + F.when(drops, 0).otherwise(1)).alias("new"),
-                (at["old"] + F.when(adds, 0).otherwise(1)).alias("old"),
-                (at["position"] + 1).alias("position"),
-            ).alias("at"),
-        ).cast(shape)
-        return F.when(t["header"], opened).when(at["hunk"] > 0, moved).otherwise(acc)
-
-    return F.aggregate(tagged, start, step, lambda acc: acc["out"])
+    rows = F.filter(F.split(patch, "\n"), lambda r: matches(r, P.HUNK_HEADER) | ~r.startswith("\\"))
+
+    def cut(lines: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: matches(F.get(lines, i), P.HUNK_HEADER))
+
+        def hunk(starts: Column, at: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(starts, k + 1), F.size(lines))
+            head = F.get(lines, at)
+            return bind(
+                F.slice(lines, at + 2, end - at - 1),
+                lambda body: _numbered(
+                    body, k + 1, at - F.get(starts, F.lit(0)) + 1,
+                    capture(head, P.HUNK_HEADER, 3).try_cast("int"), capture(head, P.HUNK_HEADER, 1).try_cast("int"),
+                ),
+            )
+
+        return bind(heads, lambda starts: F.flatten(F.transform(starts, lambda at, k: hunk(starts, at, k))))
+
+    return F.when(patch.isNotNull(), bind(rows, lambda lines: F.when(F.size(lines) > 0, cut(lines)).otherwise(F.array().cast(f"array<{LINE}>"))))
 
 
 def numbered_lines(patches: DataFrame, keys: list[str]) -> DataFrame:

@@ -216,3 +216,10 @@ def test_verdicts_are_read_item_by_item(spark):
     asked = spark.createDataFrame([(1, x, "high") for x in "abc"], "k int, fingerprint string, severity string")
     rows = parse_verdicts(answers, asked, ["k"]).collect()
     assert [(r.fingerprint, r.reasoning, r.fix) for r in rows] == [("a", "it is so", None)]
+
+
+def test_a_patch_of_a_hundred_thousand_lines(spark):
+    body = "\n".join(("+new", " same", "-old")[k % 3] for k in range(99_999))
+    df = spark.createDataFrame([(f"@@ -1,2 +1,2 @@\n{body}",)], "patch string").select(pt.parsed_lines(F.col("patch")).alias("l"))
+    row = df.select(F.size("l").alias("n"), F.element_at("l", -1).alias("last"), F.element_at("l", -2).alias("kept")).first()
+    assert row.n == 99_999 and row["last"].old_line == 66_666 and row.kept.new_line == 66_666 and row.kept.old_line == 66_665
