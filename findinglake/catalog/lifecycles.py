@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lifecycle as lc
-from ..sources.tables import observations
+from ..sources.tables import IDENTITY, fingerprint, observations
 from .dashboards import OBSERVATIONS_SQL
 
 CUT = datetime(2001, 3, 1)
@@ -18,14 +18,14 @@ _ORDER = ("observed_at", "okey", "line", "pkey", "skey", "price")
 
 def _state_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = observations(spark, sf_dir).where(F.col("observed_at") < F.lit(CUT).cast("timestamp_ntz"))
-    latest = obs.groupBy("repository_id", "fingerprint").agg(
-        F.max_by(F.struct("rule_id", "category", "severity", "file_path", "line", "st", "rf"), F.struct(*_ORDER)).alias("v"),
+    latest = obs.groupBy(*IDENTITY).agg(
+        F.max_by(F.struct("category", "severity", "line", "st", "rf"), F.struct(*_ORDER)).alias("v"),
         F.min("observed_at").alias("first_seen_at"),
         F.max("observed_at").alias("last_seen_at"),
     )
     return latest.select(
-        "repository_id", "fingerprint", "v.rule_id", "v.category", "v.severity", "v.file_path", "v.line",
-        F.col("v.rule_id").alias("title"),
+        "repository_id", fingerprint(F.col("rule_id"), F.col("file_path")).alias("fingerprint"), "rule_id",
+        "v.category", "v.severity", "file_path", "v.line", F.col("rule_id").alias("title"),
         F.when(F.col("v.st") == "O", "open").otherwise("resolved").alias("status"),
         F.when(F.col("v.rf") == "A", "confirmed").when(F.col("v.rf") == "R", "refuted").alias("verdict"),
         "first_seen_at", "last_seen_at",

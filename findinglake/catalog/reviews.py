@@ -14,7 +14,7 @@ from ..functions.ranks import confidence_rank, severity_rank
 from ..operators import excerpts as ex
 from ..operators import planning as pl
 from ..plans import report as rp
-from ..sources.tables import observations
+from ..sources.tables import IDENTITY, fingerprint, observations
 from .dashboards import OBSERVATIONS_SQL
 
 KEYS = ["repository_id"]
@@ -27,10 +27,10 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = observations(spark, sf_dir).withColumn(
         "confidence", F.element_at(F.array(*[F.lit(c) for c in CONFIDENCES]), (F.col("pkey") % 3 + 1).cast("int"))
     )
-    payload = F.struct("rule_id", "category", "severity", "confidence", "file_path", "line", "rf", "pkey", "okey")
-    first = obs.groupBy("repository_id", "fingerprint").agg(F.min_by(payload, F.struct(*_ORDER)).alias("f"))
+    payload = F.struct("category", "severity", "confidence", "line", "rf", "pkey", "okey")
+    first = obs.groupBy(*IDENTITY).agg(F.min_by(payload, F.struct(*_ORDER)).alias("f"))
     rows = first.select(
-        "repository_id", "fingerprint", "f.*",
+        "repository_id", fingerprint(F.col("rule_id"), F.col("file_path")).alias("fingerprint"), "rule_id", "file_path", "f.*",
         F.when(F.col("f.rf") == "A", "confirmed").when(F.col("f.rf") == "R", "refuted").alias("verdict"),
     )
     order = F.struct(

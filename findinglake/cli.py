@@ -24,6 +24,7 @@ from .functions.text import is_generated_path, is_scannable, words_wrapped
 from .operators.planning import blocking, override_severity
 from .operators.scan import ScanOptions, files_scanned, rank_order, ranked, scan, summary
 from .plans.report import sarif_documents
+from .schemas import FILES
 from .sources.files import collect_from_paths
 from .sources.patches import changed_lines, parsed_lines, split_multi_file_diff
 
@@ -78,7 +79,12 @@ def changed_files(spark: SparkSession, ref: str, settings: Settings) -> DataFram
     patches = split_multi_file_diff(diffs, ["id"]).where(wanted).select(
         "path", changed_lines(parsed_lines(F.col("patch"))).alias("changed_lines")
     )
-    files, _ = collect_from_paths(spark, [os.getcwd()], os.getcwd(), max_bytes=2**31 - 1)
+    # Only the files that the diff names are read.
+    named = [r["path"] for r in patches.where(F.size("changed_lines") > 0).select("path").distinct().collect()]
+    roots = [p for p in (os.path.join(os.getcwd(), n) for n in named) if os.path.isfile(p)]
+    if not roots:
+        return spark.createDataFrame([], FILES)
+    files, _ = collect_from_paths(spark, roots, os.getcwd(), MAX_FILE_BYTES)
     return (
         files.drop("changed_lines")
         .join(patches.where(F.size("changed_lines") > 0), F.col("file_path") == F.col("path"))
@@ -117,8 +123,11 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
                 spark, [os.path.abspath(p) for p in args.paths], os.getcwd(), MAX_FILE_BYTES, settings.include,
                 settings.exclude,
             )
-            for r in skipped.limit(5).collect():
+            n_skipped = skipped.count()
+            for r in skipped.orderBy("file_path").limit(5).collect():
                 warnings = (*warnings, f"{r.file_path} was skipped: {r.reason}")
+            if n_skipped > 5:
+                warnings = (*warnings, f"and {n_skipped - 5} more files were skipped")
     except (OSError, subprocess.CalledProcessError, RuntimeError) as problem:
         print(f"error: {problem}", file=sys.stderr)
         return 2
@@ -143,6 +152,9 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
     else:
         if not args.quiet:
             _pretty(ranked(found), args.limit)
+            hidden = found.count() - args.limit
+            if hidden > 0:
+                print(f"and {hidden} more findings")
         counts = summary(found).first()
         text = ", ".join(f"{counts[s]} {s}" for s in SEVERITIES if counts[s])
         scanned = files_scanned(files, options).first()[0]

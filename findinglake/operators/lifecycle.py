@@ -1,8 +1,8 @@
 """Open / resolved lifecycle of findings across scans.
 
 A batch holds at most one scan per repository. Everything is keyed joins on
-(repository_id, fingerprint) and (repository_id, path[, line]); the state table
-is read once and written once as a new snapshot version.
+(repository_id, fingerprint) and (repository_id, path, line); the state table
+is written once as a new snapshot version.
 """
 
 from __future__ import annotations
@@ -35,34 +35,35 @@ def label_new(findings: DataFrame, state: DataFrame) -> DataFrame:
     return findings.join(known, KEY, "left").withColumn("is_new", F.col("known").isNull()).drop("known")
 
 
-def scope(batch: DataFrame, examined: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Locations a scan looked at: whole files, and single lines.
+#: Stands for every line of a file.
+_WHOLE = -1
 
-    A null line array stands for the whole file and absorbs any line list. A
-    reported finding proves its own line was looked at.
+
+def scope(batch: DataFrame, examined: DataFrame) -> DataFrame:
+    """Locations a scan looked at: (repository_id, file_path, line), the line _WHOLE for whole files.
+
+    A null line array stands for the whole file. A reported finding proves its
+    own line was looked at.
     """
-    whole = examined.where(F.col("lines").isNull()).select("repository_id", F.col("path").alias("file_path")).distinct()
-    lines = (
-        examined.select("repository_id", F.col("path").alias("file_path"), F.explode("lines").alias("line"))
+    looked = F.coalesce("lines", F.array(F.lit(_WHOLE)))
+    return (
+        examined.select("repository_id", F.col("path").alias("file_path"), F.explode(looked).alias("line"))
         .unionByName(batch.select("repository_id", "file_path", "line"))
         .distinct()
     )
-    return whole, lines
 
 
 def resolved_findings(state: DataFrame, batch: DataFrame, examined: DataFrame) -> DataFrame:
     """Open rows the scan looked at and did not report again."""
-    whole, lines = scope(batch, examined)
     gone = (
         state.where(F.col("status") == "open")
         .select(*KEY, "file_path", "line")
         .join(batch.select(*KEY), KEY, "left_anti")
     )
-    by_file = gone.join(whole, ["repository_id", "file_path"], "left_semi")
-    by_line = gone.join(whole, ["repository_id", "file_path"], "left_anti").join(
-        lines, ["repository_id", "file_path", "line"], "left_semi"
-    )
-    return by_file.unionByName(by_line)
+    # Each row asks for its file as a whole and for its line; a row that finds both is one row still.
+    asked = gone.select(*KEY, "file_path", F.col("line").alias("own_line"), F.explode(F.array(F.lit(_WHOLE), "line")).alias("line"))
+    found = asked.join(scope(batch, examined), ["repository_id", "file_path", "line"], "left_semi")
+    return found.select(*KEY, "file_path", F.col("own_line").alias("line")).distinct()
 
 
 def _fold_batch(batch: DataFrame) -> DataFrame:

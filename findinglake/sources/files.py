@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,14 @@ from ..functions.text import in_skipped_directory, is_generated_path, is_scannab
 _SNIFFED_BYTES = 1024
 
 
+def outermost(roots: Sequence[str]) -> list[str]:
+    """The roots without those that lie under another, so no file is reached twice."""
+    plain = sorted({posixpath.normpath(r) for r in roots})
+    return [r for r in plain if not any(r != o and r.startswith(o.rstrip("/") + "/") for o in plain)]
+
+
 def _listed(spark: SparkSession, roots: Sequence[str], base: str) -> DataFrame:
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(roots))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(outermost(roots))
     plain = F.regexp_replace("path", "^file:(//)?", "")
     prefix = base.rstrip("/") + "/"
     shown = F.when(plain.startswith(prefix), plain.substr(F.lit(len(prefix) + 1), F.length(plain))).otherwise(plain)
@@ -34,7 +41,7 @@ def collect_from_paths(
 
     Paths decide before bytes are read; oversized files are reported, binary
     ones (a NUL near the start) are dropped, and a path reached through two
-    roots counts once.
+    roots counts once. No content is shuffled.
     """
     path = F.col("file_path")
     listed = _listed(spark, roots, base).where(
@@ -43,13 +50,9 @@ def collect_from_paths(
     )
     skipped = listed.where(F.col("length") > max_bytes).select(
         "file_path", F.lit(f"larger than {max_bytes} bytes").alias("reason")
-    ).distinct()
-    head = F.substring("content", 1, _SNIFFED_BYTES)
-    text = (
-        listed.where((F.col("length") <= max_bytes) & ~F.hex(head).rlike("^(?:..)*?00"))
-        .groupBy("file_path")
-        .agg(F.first("content").alias("content"))
     )
+    head = F.substring("content", 1, _SNIFFED_BYTES)
+    text = listed.where((F.col("length") <= max_bytes) & ~F.hex(head).rlike("^(?:..)*?00"))
     files = text.select(
         F.xxhash64("file_path").alias("file_idx"),
         "file_path",

@@ -31,6 +31,14 @@ def hashed(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(" ", *parts), 256), 1, 20)
 
 
+def fingerprint(rule: Column, path: Column) -> Column:
+    return hashed(rule, path)
+
+
+#: What a fingerprint is made of. Grouping by these and hashing the groups costs one hash a group, not one a sighting.
+IDENTITY = ["repository_id", "rule_id", "file_path"]
+
+
 def severity_of_priority(priority: Column) -> Column:
     first = F.substring(priority, 1, 1)
     return (
@@ -64,7 +72,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
             severity_of_priority(F.col("o_orderpriority")).alias("severity"),
             path.alias("file_path"),
             F.col("l_linenumber").alias("line"),
-            hashed(rule, path).alias("fingerprint"),
+            fingerprint(rule, path).alias("fingerprint"),
             F.col("o_orderdate").alias("observed_at"),
             F.col("l_shipdate").alias("shipdate"),
             F.col("l_linestatus").alias("st"),
@@ -84,10 +92,10 @@ def finding_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     third of all sightings costs its reducer one row per map task.
     """
     recency = F.struct("observed_at", "okey", "line", "pkey", "skey", "price")
-    payload = F.struct("rule_id", "category", "severity", "file_path", "line", "st", "rf", "shipdate")
+    payload = F.struct("category", "severity", "line", "st", "rf", "shipdate")
     latest = (
         observations(spark, sf_dir)
-        .groupBy("repository_id", "fingerprint")
+        .groupBy(*IDENTITY)
         .agg(
             F.max_by(payload, recency).alias("v"),
             F.min("observed_at").alias("first_seen_at"),
@@ -96,13 +104,13 @@ def finding_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return latest.select(
         "repository_id",
-        "fingerprint",
-        "v.rule_id",
+        fingerprint(F.col("rule_id"), F.col("file_path")).alias("fingerprint"),
+        "rule_id",
         "v.category",
         "v.severity",
-        "v.file_path",
+        "file_path",
         "v.line",
-        F.col("v.rule_id").alias("title"),
+        F.col("rule_id").alias("title"),
         F.when(F.col("v.st") == "O", "open").otherwise("resolved").alias("status"),
         F.when(F.col("v.rf") == "A", "confirmed").when(F.col("v.rf") == "R", "refuted").alias("verdict"),
         "first_seen_at",

@@ -223,3 +223,12 @@ def test_a_patch_of_a_hundred_thousand_lines(spark):
     df = spark.createDataFrame([(f"@@ -1,2 +1,2 @@\n{body}",)], "patch string").select(pt.parsed_lines(F.col("patch")).alias("l"))
     row = df.select(F.size("l").alias("n"), F.element_at("l", -1).alias("last"), F.element_at("l", -2).alias("kept")).first()
     assert row.n == 99_999 and row["last"].old_line == 66_666 and row.kept.new_line == 66_666 and row.kept.old_line == 66_665
+
+
+def test_files_are_read_without_a_shuffle(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "x.py").write_text("x = 1")
+    roots = [str(tmp_path / "a"), str(tmp_path / "a" / "b"), str(tmp_path / "a") + "/"]
+    files, _ = collect_from_paths(spark, roots, str(tmp_path))
+    assert [r.file_path for r in files.collect()] == ["a/b/x.py"]
+    assert "Exchange" not in files._jdf.queryExecution().executedPlan().toString()
