@@ -14,7 +14,7 @@ from ..functions.ranks import confidence_rank, severity_rank
 from ..operators import excerpts as ex
 from ..operators import planning as pl
 from ..plans import report as rp
-from ..sources.tables import IDENTITY, fingerprint, observations
+from ..sources.tables import IDENTITY, fingerprint, observations, read
 from .dashboards import OBSERVATIONS_SQL
 
 KEYS = ["repository_id"]
@@ -167,6 +167,34 @@ def comment_table(spark, sf_dir):
     return rp.table_rows(_full(spark, sf_dir), KEYS).drop("ord")
 
 
+def _reviews(spark, sf_dir):
+    r = F.col("n_nationkey")
+    return read(spark, sf_dir, "nation").select(
+        r.cast("long").alias("repository_id"), (r + 1).alias("files_scanned"), (r * 700).alias("duration_ms"),
+        (r % 3).alias("resolved"), (r % 2).alias("n_inline"),
+    )
+
+
+def review_comments(spark, sf_dir):
+    """Repositories 0 to 2 have few findings, so every part of the comment comes up empty somewhere."""
+    rows = _full(spark, sf_dir).where((F.col("repository_id") > 2) | (F.length("rule_id") - 2 == F.col("repository_id") * 20))
+    rows = rows.withColumn("is_new", F.col("pkey") % 2 == 0).withColumn(
+        "severity_changed_from", F.when(F.col("verdict").isNotNull() & (F.col("pkey") % 5 == 0), F.lit("low"))
+    )
+    texts = rp.review_comments(rows, _reviews(spark, sf_dir), KEYS, "high")
+    return texts.select("repository_id", F.sha2("body", 256).alias("body"), "hidden_severe", "hidden_other", "hidden_refuted")
+
+
+def triage_requests(spark, sf_dir):
+    """One request per file: the excerpt around the findings chosen for a second opinion, and those findings."""
+    keys = ["repository_id", "file_path"]
+    picked = pl.select_for_triage(findings(spark, sf_dir), KEYS, 40, "medium")
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda n: F.concat(F.lit("row "), n.cast("string"))), "\n")
+    files = observations(spark, sf_dir).select(*keys).distinct().withColumn("content", text)
+    asked = ex.triage_requests(files, picked, keys, 1, 120)
+    return asked.select(*keys, F.sha2("excerpt", 256).alias("excerpt"), F.array_join("findings.fingerprint", ",").alias("findings"))
+
+
 def _places(spark, sf_dir):
     """Findings spread over 400-line files."""
     return observations(spark, sf_dir).select(
@@ -202,6 +230,8 @@ QUERIES = {
     "triage_counts": triage_counts,
     "status_lines": status,
     "severity_counts": worst,
+    "review_comments": review_comments,
+    "triage_requests": triage_requests,
     "excerpt_windows": excerpt_windows,
 }
 
@@ -250,7 +280,58 @@ _ACTIVE = ", ".join(
     f"count(*) filter (where severity='{s}' and coalesce(verdict,'')<>'refuted') {s}" for s in SEVERITIES
 )
 
+_ICON = f"(['🔴','🟠','🟡','🔵','⚪'])[{_SEV}]"
+_DETAIL = f"""concat_ws(chr(10)||chr(10), concat('### ', {_ICON}, ' Title ', rule_id),
+  concat_ws(' · ', concat('`', file_path, ':', line, '`'), category, concat(severity, ' severity'), concat(confidence, ' confidence'),
+    case when verdict is not null then concat(case verdict when 'confirmed' then 'Confirmed on review' else 'Judged a false positive' end,
+      case when pkey%5=0 then ' (severity was low)' else '' end) end,
+    case when pkey%2=0 then 'new in this change' end, concat('CWE-', length(rule_id))),
+  concat('```', chr(10), 'code ', fingerprint, chr(10), '```'),
+  case when verdict is not null then concat('because ', rf) else concat('About ', category) end, concat('**Fix.** Fix ', category),
+  case when verdict is not null then concat('In general: About ', category, ' Fix ', category) end,
+  case when verdict is null and confidence='low' then concat('_Low confidence: if the code around it handles this, write `security-review-ignore ',
+    rule_id, '` and a reason on the line above._') end,
+  concat('<sub>', rule_id, ' · ', fingerprint, case when verdict is not null then ' · judged by m1' else '' end, '</sub>'))"""
+_COMMENTS = f"""{_BASE},
+p as (select *, case when verdict='refuted' then 'refuted' when severity in ('critical','high') then 'severe' else 'other' end part
+      from f where repository_id>2 or length(rule_id)-2=repository_id*20),
+q as (select *, row_number() over (partition by repository_id, part order by ord) n from p),
+t as (select repository_id,
+  string_agg({_DETAIL}, chr(10)||chr(10) order by n) filter (where part='severe' and n<=40) severe_text,
+  string_agg(concat('| ', {_ICON}, ' ', severity, ' | Title ', rule_id, ' | `', file_path, ':', line, '` | ', rule_id, ' |'), chr(10) order by n)
+    filter (where part='other' and n<=50) other_text,
+  string_agg(concat('- `', file_path, ':', line, '` Title ', rule_id, ': because ', rf), chr(10) order by n)
+    filter (where part='refuted' and n<=50) refuted_text,
+  count(*) filter (where part='severe') severe, count(*) filter (where part='other') other, count(*) filter (where part='refuted') refuted,
+  {", ".join(f"count(*) filter (where part<>'refuted' and severity='{s}') {s}" for s in SEVERITIES)} from q group by 1),
+r as (select cast(n_nationkey as bigint) repository_id, n_nationkey k, coalesce(severe,0) severe, coalesce(other,0) other, coalesce(refuted,0) refuted,
+  coalesce(severe,0)+coalesce(other,0) active, severe_text, other_text, refuted_text,
+  concat_ws(' · ', {", ".join(f"case when {s}>0 then concat('{i} ', {s}, ' {s}') end" for s, i in rp.SEVERITY_ICONS.items())}) tally
+  from nation left join t on t.repository_id=n_nationkey),
+w as (select *, greatest(severe-40,0) hs, greatest(other-50,0) ho, greatest(refuted-50,0) hr from r)
+select repository_id, sha256(concat_ws(chr(10)||chr(10), concat('## Security review: ', active, ' finding', case when active=1 then '' else 's' end),
+    case when active=0 then concat('No findings on the changed lines of ', k+1, ' file', case when k=0 then '' else 's' end, ', in ',
+      case when k*700<1000 then concat(k*700, 'ms') else printf('%.1fs', k*700/1000.0) end, '.') else tally end,
+    case when severe>0 then concat('> ', severe, ' finding', case when severe=1 then '' else 's' end, ' at high or worse: the check fails.') end,
+    case when active>0 and k%2=1 then '1 finding commented inline too.' end, severe_text,
+    case when hs>0 then concat('_', hs, ' more of high severity left out._') end,
+    case when other>0 then concat('| Severity | Finding | Place | Rule |', chr(10), '| --- | --- | --- | --- |', chr(10), other_text) end,
+    case when ho>0 then concat('_and ', ho, ' more._') end,
+    case k%3 when 1 then '1 earlier finding resolved.' when 2 then '2 earlier findings resolved.' end,
+    case when refuted>0 then concat('Judged false positives:', chr(10), refuted_text) end,
+    case when hr>0 then concat('_and ', hr, ' more._') end)) body, hs hidden_severe, ho hidden_other, hr hidden_refuted from w"""
+
 ORACLES = {
+    "review_comments": _COMMENTS,
+    "triage_requests": f"""{_BASE}, s as (select * from (
+          select *, row_number() over (partition by repository_id order by {_SEV}, {_CONF} desc, ord) k from f where {_SEV}<=3) q where k<=40),
+        c as (select distinct repository_id, file_path, unnest(range(greatest(1, line-1), least(40, line+1)+1)) ln from s),
+        g as (select *, ln - row_number() over (partition by repository_id, file_path order by ln) island from c),
+        w as (select repository_id, file_path, min(ln) lo, string_agg(concat(lpad(cast(ln as varchar), 5, ' '), '  row ', ln), chr(10) order by ln) body
+              from g group by repository_id, file_path, island),
+        x as (select repository_id, file_path, sha256(string_agg(body, concat(chr(10), '    ...', chr(10)) order by lo)) excerpt from w group by 1, 2),
+        a as (select repository_id, file_path, string_agg(fingerprint, ',' order by k) findings from s group by 1, 2)
+        select repository_id, file_path, excerpt, findings from x join a using (repository_id, file_path)""",
     "rank_and_cap": f"""{_BASE} select repository_id, fingerprint, rule_id, severity, confidence, file_path, line
         from (select *, row_number() over (partition by repository_id, file_path order by ord) k from f) q where k<=25""",
     "severity_override": f"""{_BASE} select rule_id, case

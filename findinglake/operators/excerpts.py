@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranks import confidence_rank, severity_rank
 from ..functions.scrub import scrub_credentials
 
 
@@ -89,3 +90,19 @@ def excerpts(files: DataFrame, findings: DataFrame, keys: list[str], context: in
         .join(plans, keys)
         .select(*keys, scrub_credentials(F.concat(body, tail)).alias("text"), "start_line", "end_line", "truncated")
     )
+
+
+def triage_requests(files: DataFrame, chosen: DataFrame, keys: list[str], context: int, max_lines: int) -> DataFrame:
+    """One row per file with findings to judge: keys, `excerpt` and `findings`, worst and least certain first.
+
+    `chosen` comes from `select_for_triage`, whose limit bounds the list of a file.
+    """
+    order = F.struct(
+        severity_rank(F.col("severity")).alias("s"), (-confidence_rank(F.col("confidence"))).alias("c"), F.col("ord").alias("o"),
+        "fingerprint", "rule_id", "severity", "confidence", "line",
+    )
+    listed = chosen.groupBy(*keys).agg(F.sort_array(F.collect_list(order)).alias("all"))
+    named = F.transform("all", lambda f: F.struct(*(f[n].alias(n) for n in ("fingerprint", "rule_id", "severity", "confidence", "line"))))
+    places = chosen.select(*keys, "line", F.lit(None).cast("int").alias("end_line"))
+    cut = excerpts(files, places, keys, context, max_lines)
+    return cut.join(listed, keys).select(*keys, F.col("text").alias("excerpt"), "start_line", "end_line", "truncated", named.alias("findings"))

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..fixed_values import enums as E
 from ..fixed_values.rules import RULE_ORDER
 from ..functions.ranks import choose, lookup, severity_of_rank, severity_rank
-from ..functions.text import escape_cell, pascal_case, plural
+from ..functions.text import duration_text, escape_cell, pascal_case, plural
 from ..operators.planning import blocking, cap_results
 
 SEVERITY_ICONS = {"critical": "🔴", "high": "🟠", "medium": "🟡", "low": "🔵", "info": "⚪"}
@@ -252,6 +252,100 @@ def headline(active: Column) -> Column:
     return F.concat(F.lit("Security review: "), active.cast("string"), F.lit(" "), plural(active, "finding"))
 
 
-def finding_json(findings: DataFrame) -> DataFrame:
-    """One JSON text per finding."""
-    return findings.select("fingerprint", F.to_json(F.struct(*findings.columns)).alias("json"))
+def detailed_text() -> Column:
+    """A finding in full, as markdown: what, where, the line, why and what to do."""
+    judged = F.col("verdict").isNotNull()
+    place = F.concat(F.lit("`"), "file_path", F.lit(":"), F.col("line").cast("string"), F.lit("`"))
+    opinion = lookup(VERDICT_LABELS, F.col("verdict"))
+    moved = F.concat(opinion, F.lit(" (severity was "), "severity_changed_from", F.lit(")"))
+    facts = F.concat_ws(
+        " · ", place, F.coalesce(lookup(E.CATEGORY_LABELS, F.col("category")), F.col("category")),
+        F.concat("severity", F.lit(" severity")), F.concat("confidence", F.lit(" confidence")), F.coalesce(moved, opinion),
+        F.when(F.col("is_new"), F.lit("new in this change")), F.when(F.size("cwe") > 0, F.array_join("cwe", ", ")),
+    )
+    doubt = F.when(
+        ~judged & (F.col("confidence") == "low"),
+        F.concat(F.lit("_Low confidence: if the code around it handles this, write `security-review-ignore "), "rule_id",
+                 F.lit("` and a reason on the line above._")),
+    )
+    source = F.concat(
+        F.lit("<sub>"), "rule_id", F.lit(" · "), "fingerprint",
+        F.when(judged, F.concat(F.lit(" · judged by "), "model")).otherwise(F.lit("")), F.lit("</sub>"),
+    )
+    return F.concat_ws(
+        "\n\n", F.concat(F.lit("### "), lookup(SEVERITY_ICONS, F.col("severity")), F.lit(" "), "title"), facts,
+        F.concat(F.lit("```\n"), "snippet", F.lit("\n```")), F.when(judged, F.col("reasoning")).otherwise(F.col("description")),
+        F.concat(F.lit("**Fix.** "), F.coalesce("fix", "remediation")),
+        F.when(judged, F.concat(F.lit("In general: "), "description", F.lit(" "), "remediation")), doubt, source,
+    )
+
+
+def review_comments(
+    findings: DataFrame, reviews: DataFrame, keys: list[str], fail_on: str, details: int = E.MAX_RENDERED, rows: int = 50
+) -> DataFrame:
+    """The summary comment of each review: `body`, and how many findings each part leaves out.
+
+    findings: finding and verdict columns, `ord`, `is_new`. reviews: keys, files_scanned, duration_ms, resolved,
+    n_inline. Severe findings stand in full, up to `details`; others and refuted ones as lists of `rows` at most.
+    """
+    refuted = F.coalesce(F.col("verdict") == "refuted", F.lit(False))
+    severe = F.col("severity").isin("critical", "high")
+    part = F.when(refuted, "refuted").when(severe, "severe").otherwise("other")
+    cell = F.concat(
+        F.lit("| "), F.concat_ws(
+            " | ", F.concat_ws(" ", lookup(SEVERITY_ICONS, F.col("severity")), "severity"), escape_cell(F.col("title")),
+            F.concat(F.lit("`"), escape_cell(F.col("file_path")), F.lit(":"), F.col("line").cast("string"), F.lit("`")), "rule_id",
+        ), F.lit(" |"),
+    )
+    overruled = F.concat(
+        F.lit("- `"), escape_cell(F.col("file_path")), F.lit(":"), F.col("line").cast("string"), F.lit("` "),
+        escape_cell(F.col("title")), F.lit(": "), F.coalesce("reasoning", F.lit("")),
+    )
+    text = F.when(F.col("part") == "refuted", overruled).when(F.col("part") == "severe", detailed_text()).otherwise(cell)
+    place = Window.partitionBy(*keys, "part").orderBy("ord")
+    shown = (
+        findings.withColumn("part", part).withColumn("n", F.row_number().over(place)).where(F.col("n") <= max(details, rows))
+        .where((F.col("part") != "severe") & (F.col("n") <= rows) | (F.col("part") == "severe") & (F.col("n") <= details))
+        .select(*keys, "part", "n", text.alias("text"))
+        .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("part", "n", "text"))).alias("shown"))
+    )
+    counts = severity_tally(
+        keys, findings, F.count_if(blocking(fail_on)).alias("blocking"),
+        F.count_if(~refuted & severe).alias("severe"), F.count_if(~refuted & ~severe).alias("other"),
+    )
+    zero = ["active", "refuted", "blocking", "severe", "other", *E.SEVERITIES]
+    all_ = reviews.join(counts, keys, "left").join(shown, keys, "left").na.fill(0, zero)
+
+    def listed(name: str, glue: str) -> Column:
+        return F.array_join(F.transform(F.filter("shown", lambda x: x["part"] == name), lambda x: x["text"]), glue)
+
+    def left_out(name: str, limit: int) -> Column:
+        return F.greatest(F.col(name) - limit, F.lit(0))
+
+    def count_of(number: Column, word: str) -> Column:
+        return F.concat_ws(" ", number.cast("string"), plural(number, word))
+
+    tally = F.array_join(F.array_compact(F.array(*[
+        F.when(F.col(s) > 0, F.concat_ws(" ", F.lit(SEVERITY_ICONS[s]), F.col(s).cast("string"), F.lit(s))) for s in E.SEVERITIES
+    ])), " · ")
+    clean = F.concat(
+        F.lit("No findings on the changed lines of "), count_of(F.col("files_scanned"), "file"), F.lit(", in "),
+        duration_text(F.col("duration_ms")), F.lit("."),
+    )
+    hidden = left_out("severe", details)
+    body = F.concat_ws(
+        "\n\n", F.concat(F.lit("## "), headline(F.col("active"))), F.when(F.col("active") == 0, clean).otherwise(tally),
+        F.when(F.col("blocking") > 0, F.concat(F.lit("> "), count_of(F.col("blocking"), "finding"), F.lit(f" at {fail_on} or worse: the check fails."))),
+        F.when((F.col("active") > 0) & (F.col("n_inline") > 0), F.concat(count_of(F.col("n_inline"), "finding"), F.lit(" commented inline too."))),
+        F.when(F.col("severe") > 0, listed("severe", "\n\n")),
+        F.when(hidden > 0, F.concat(F.lit("_"), hidden.cast("string"), F.lit(" more of high severity left out._"))),
+        F.when(F.col("other") > 0, F.concat(F.lit("| Severity | Finding | Place | Rule |\n| --- | --- | --- | --- |\n"), listed("other", "\n"))),
+        F.when(left_out("other", rows) > 0, F.concat(F.lit("_and "), left_out("other", rows).cast("string"), F.lit(" more._"))),
+        F.when(F.col("resolved") > 0, F.concat(count_of(F.col("resolved"), "earlier finding"), F.lit(" resolved."))),
+        F.when(F.col("refuted") > 0, F.concat(F.lit("Judged false positives:\n"), listed("refuted", "\n"))),
+        F.when(left_out("refuted", rows) > 0, F.concat(F.lit("_and "), left_out("refuted", rows).cast("string"), F.lit(" more._"))),
+    )
+    return all_.select(
+        *keys, body.alias("body"), hidden.alias("hidden_severe"), left_out("other", rows).alias("hidden_other"),
+        left_out("refuted", rows).alias("hidden_refuted"),
+    )
