@@ -430,7 +430,7 @@ ORACLES = {
         else 'mismatch' end state, count(*) n from events group by 1""",
     "verdict_answers": f"""with t as (select *, conv_id*100+turn k from conversations),
         v as (select conv_id, turn, k, concat('fp',k%50) fingerprint, {_pick_sql((*VERDICTS, "maybe"), "k")} verdict,
-          case when k%13<>0 then regexp_replace(text, '^\s+|\s+$', '', 'g') else '' end reasoning, case when k%2=0 then 'patch it' end fix,
+          case when k%13<>0 then regexp_replace(text, '^\\s+|\\s+$', '', 'g') else '' end reasoning, case when k%2=0 then 'patch it' end fix,
           {_pick_sql(SEVERITIES, "k")} wanted, {_pick_sql((*CONFIDENCES, "sure"), "k")} c0, {_pick_sql(SEVERITIES, "turn")} asked from t
           where conv_id%4<>1),
         w as (select *, case when c0='sure' then 'medium' else c0 end confidence,
