@@ -19,6 +19,7 @@ repeated rows give repeated rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 import numpy as np
@@ -51,6 +52,22 @@ def majority(digests: bytes, width: int) -> np.ndarray:
     return np.packbits(2 * set_bits > len(rows))
 
 
+def _weighed(words: list[bytes]) -> np.ndarray:
+    """Packed 256 majority bits over different words, each with the root of its count as its weight.
+
+    By plain counts the few words that every text is full of would decide, and unrelated texts would come out alike.
+    The weights are whole numbers, so sums are exact in any order.
+    """
+    counts = Counter(words)
+    weights = np.rint(256 * np.sqrt(np.fromiter(counts.values(), np.float64, len(counts))))
+    digest = xxhash.xxh3_128_digest
+    rows = np.frombuffer(b"".join([digest(w, 42) + digest(w, 43) for w in counts]), np.uint8).reshape(-1, 32)
+    total = np.zeros(256)
+    for start in range(0, len(rows), 2048):
+        total += weights[start : start + 2048] @ np.unpackbits(rows[start : start + 2048], axis=1).astype(np.float64)
+    return np.packbits(2 * total > weights.sum())
+
+
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """64 majority bits over the XXH64 of word shingles, repeats included."""
     words = (text or "").encode().lower().split()
@@ -145,8 +162,9 @@ def _signature(text: str | None) -> list[int]:
         return [0] * 9
     one, two = xxhash.xxh64_digest, xxhash.xxh3_128_digest
     parts = [majority(b"".join([one(g, 42) for g in _grams(words, 3)]), 8)]
-    for grams in (words, _grams(words, WORDS)):
-        parts += [majority(b"".join([two(g, seed) for g in grams]), 16) for seed in (42, 43)]
+    shingles = _grams(words, WORDS)
+    parts.append(_weighed(words))
+    parts += [majority(b"".join([two(g, seed) for g in shingles]), 16) for seed in (42, 43)]
     return np.concatenate(parts).view(">i8").tolist()
 
 
