@@ -270,7 +270,9 @@ def scan_pages(spark, sf_dir):
     """Raw web pages scanned as they are: whole HTML, file by file."""
     files = read(spark, sf_dir, "pages").select(
         F.col("page_id").alias("file_idx"), F.concat(F.lit("site/p"), F.col("page_id").cast("string"), F.lit(".html")).alias("file_path"),
-        F.concat_ws("\n", "html", F.concat(F.lit("<b v-html=\"q\"></b><!-- DES -->"), "url")).alias("content"),
+        F.concat_ws(
+            "\n", "html", F.concat(F.when(F.col("page_id") % 3 == 0, F.lit("<!-- DES -->")).otherwise(F.lit("<!-- none -->")), "url")
+        ).alias("content"),
         F.lit("modified").alias("status"), F.lit(None).cast("array<int>").alias("changed_lines"),
     )
     return scan(files).groupBy("rule_id", "severity", "confidence").agg(
@@ -498,8 +500,11 @@ ORACLES = {
         {", ".join(f"count(*) filter (where category='{c}') \"{c.replace('-', '_')}\"" for c in
                    ("sql-injection", "authentication", "secrets", "dependencies", "authorization", "dangerous-api"))},
         'critical' worst from found""",
-    "scan_pages": """select rule_id, severity, confidence, count(*) findings, count(*) files from (
-          select page_id, 'dangerous-api/weak-cipher' rule_id, 'medium' severity, 'medium' confidence from pages) q group by 1,2,3""",
+    "scan_pages": f"""with l as (select page_id, unnest(string_split(concat(html, chr(10),
+            case when page_id%3=0 then '<!-- DES -->' else '<!-- none -->' end, url), chr(10))) ln from pages)
+        select 'dangerous-api/weak-cipher' rule_id, 'medium' severity, 'medium' confidence, count(*) findings, count(distinct page_id) files
+        from (select distinct page_id, substr(trim(regexp_replace(ln, '\\s+', ' ', 'g')), 1, 200) from l
+              where regexp_matches(ln, {_q(_CIPHER)})) q(page_id, snippet)""",
     "taint_names": f"""with e(v, name, line) as (values {_TAINTED})
         select {_PATH_SQL} file_path, name, line from documents join e on e.v=doc_id%{_N}""",
     "manifest_dependencies": f"""{_MANIFESTS} select file_path, eco ecosystem, name, rng as range, line, dev from dep""",
