@@ -37,6 +37,19 @@ QUERIES = {
     "known_repositories": lambda spark, sf: d.known_repositories(star_store(spark, sf)),
 }
 
+#: Single figures of the overview, each a query of its own.
+_FIGURES = (
+    "total_resolved", "introduced_in_window", "resolved_in_window", "scans_in_window", "repositories_tracked",
+    "mean_time_to_resolve_hours", "median_open_age_days",
+)
+
+
+def _figure(column):
+    return lambda spark, sf_dir: d.overview(star_store(spark, sf_dir), QUARTER).select(column)
+
+
+QUERIES |= {f"figure_{column}": _figure(column) for column in _FIGURES}
+
 OBSERVATIONS_SQL = """
 obs as (
   select cast(c.c_nationkey as bigint) repository_id, concat(p.p_type,'/',p.p_brand) rule_id, p.p_type category,
@@ -183,3 +196,5 @@ ORACLES = {
         order by refutation_rate desc, refuted desc, rule_id limit 50""",
     "known_repositories": f"{STATE_SQL} select full_name from repositories",
 }
+
+ORACLES |= {f"figure_{column}": f"select {column} from ({_overview_sql('2001-05-29', 90, 'true')}) q" for column in _FIGURES}
