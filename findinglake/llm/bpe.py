@@ -17,6 +17,7 @@ vocabulary raise ValueError when decoding.
 from __future__ import annotations
 
 import base64
+import hashlib
 from heapq import heappop, heappush
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 #: Pre-tokens of more characters are not remembered, and at most so many are.
-REMEMBERED_CHARS, REMEMBERED = 48, 400_000
+REMEMBERED_CHARS, REMEMBERED = 48, 300_000
 _WORD = 256
 
 
@@ -149,26 +150,36 @@ class Encoder(dict):
             raise ValueError(f"id {unknown} is not in the vocabulary") from None
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def _encoder(path: str, ranks, pattern: str) -> Encoder:
-    """One encoder for each Python worker; what it remembers outlives a task."""
-    key = (f"{path}\n{pattern}", len(ranks.value))
+def _encoder(digest: str, ranks, pattern: str) -> Encoder:
+    """One encoder for each Python worker and vocabulary, which outlives a task.
+
+    A worker that has it does not load the vocabulary again with each query's broadcast.
+    """
+    key = (digest, pattern)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(ranks.value, pattern)
     return _ENCODERS[key]
 
 
+def _sent(df: DataFrame, path: str):
+    """A digest of the vocabulary and its broadcast."""
+    with open(path, "rb") as file:
+        digest = hashlib.sha256(file.read()).hexdigest()
+    return digest, df.sparkSession.sparkContext.broadcast(load_ranks(path))
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """One row per input row: the id, `n_tokens` and `ids` (little-endian unsigned 32-bit integers).
 
     The vocabulary, a file of fixed size, is read once on the driver and broadcast.
     """
-    ranks = df.sparkSession.sparkContext.broadcast(load_ranks(path))
+    digest, ranks = _sent(df, path)
 
     def row(key, value):
-        ids = _encoder(path, ranks, pattern).encode(value)
+        ids = _encoder(digest, ranks, pattern).encode(value)
         return key, len(ids) // 4, ids
 
     key_type = df.schema[row_id].dataType
@@ -180,10 +191,10 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", row_id: s
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", row_id: str = "doc_id") -> DataFrame:
     """The rows of `encode` with `decoded`, the bytes that the ids stand for."""
-    ranks = df.sparkSession.sparkContext.broadcast(load_ranks(path))
+    digest, ranks = _sent(df, path)
 
     def row(key, n_tokens, value):
-        return key, n_tokens, value, _encoder(path, ranks, pattern).decode(value)
+        return key, n_tokens, value, _encoder(digest, ranks, pattern).decode(value)
 
     key_type = df.schema[row_id].dataType
     return map_rows(

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 #: Characters of text that a Python task turns into output before it hands a batch on.
 BATCH_CHARS = 8_000_000
-#: Arrow batches the JVM sends to Python hold this many rows at most, so that long texts stay few.
-BATCH_ROWS = 2_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -37,7 +37,7 @@ GRADES = 3
 #: A text is kept if P(grade = good) is this at least.
 KEEP = 0.5
 _TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]+")
-_REMEMBERED = 300_000
+_REMEMBERED = 100_000
 
 
 def grade(quality: Column, toxic: Column) -> Column:
