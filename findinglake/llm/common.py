@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a Python task turns into output before it hands a batch on.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 2_000_000
+#: Rows of an Arrow batch that become Python values at a time.
+SLICE_ROWS = 512
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,12 +66,13 @@ def map_rows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, chars = [], 0
-            for values in zip(*(c.to_pylist() for c in batch.columns)):
-                held.append(row(*values))
-                chars += len(values[text_at] or "")
-                if chars >= BATCH_CHARS:
-                    yield as_batch(held, arrow_schema)
-                    held, chars = [], 0
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                for values in zip(*(c.to_pylist() for c in batch.slice(start, SLICE_ROWS).columns)):
+                    held.append(row(*values))
+                    chars += len(values[text_at] or "")
+                    if chars >= BATCH_CHARS:
+                        yield as_batch(held, arrow_schema)
+                        held, chars = [], 0
             if held:
                 yield as_batch(held, arrow_schema)
 
