@@ -9,6 +9,9 @@ fingerprint is stored in its cell and looks into that cell and those one step
 up; the pair is seen by whichever lies lower. Candidates are verified exactly
 as they meet. Equal fingerprints are one node, so copies never become pairs.
 
+`similar`, which the pipeline uses, decides by the Jaccard similarity of sets of
+five-word shingles instead; it has its candidates from the rarest shingles.
+
 Links become components by alternating large and small stars, with the edge
 list checkpointed in the shared folder each round.
 
@@ -19,8 +22,7 @@ repeated rows give repeated rows.
 
 from __future__ import annotations
 
-from collections import Counter
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +33,10 @@ from pyspark.sql import functions as F
 from .common import map_rows, stored, text_key
 
 MAX_BITS = 3
-#: Words in a shingle of the similarity that `similar` asks for, and the bits of 256 by which sketches of texts
-#: that share 0.8 of them differ at most: 39 on average, with a deviation of 6.
-WORDS, SKETCH_BITS = 5, 45
+#: Words in a shingle of the similarity that `similar` asks for; common shingles that are broadcast to order the rest.
+WORDS, COMMON = 5, 1 << 17
+#: Candidate pairs for each row of a token table up to which all are decided at once, and turns before that anyway.
+MANY, TURNS = 8, 6
 
 
 def _grams(words: list[bytes], length: int) -> list[bytes]:
@@ -52,22 +55,6 @@ def majority(digests: bytes, width: int) -> np.ndarray:
     return np.packbits(2 * set_bits > len(rows))
 
 
-def _weighed(words: list[bytes]) -> np.ndarray:
-    """Packed 256 majority bits over different words, each with the root of its count as its weight.
-
-    By plain counts the few words that every text is full of would decide, and unrelated texts would come out alike.
-    The weights are whole numbers, so sums are exact in any order.
-    """
-    counts = Counter(words)
-    weights = np.rint(256 * np.sqrt(np.fromiter(counts.values(), np.float64, len(counts))))
-    digest = xxhash.xxh3_128_digest
-    rows = np.frombuffer(b"".join([digest(w, 42) + digest(w, 43) for w in counts]), np.uint8).reshape(-1, 32)
-    total = np.zeros(256)
-    for start in range(0, len(rows), 2048):
-        total += weights[start : start + 2048] @ np.unpackbits(rows[start : start + 2048], axis=1).astype(np.float64)
-    return np.packbits(2 * total > weights.sum())
-
-
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """64 majority bits over the XXH64 of word shingles, repeats included."""
     words = (text or "").encode().lower().split()
@@ -152,70 +139,173 @@ def near_duplicates(df: DataFrame, text: str = "text", row_id: str = "doc_id", s
     return prints.join(member.select("bits", "root").join(named, "root"), "bits").select(row_id, "bits", "component_id")
 
 
-_SINGLE, _SKETCH = ["w0", "w1", "w2", "w3"], ["s0", "s1", "s2", "s3"]
-
-
-def _signature(text: str | None) -> list[int]:
-    """The fingerprint; four fingerprints of single words; a sketch of 256 majority bits of five-word shingles."""
+def shingles(text: str | None) -> np.ndarray:
+    """The different five-word shingles as sorted 64-bit hashes; fewer words are one shingle, none is none."""
     words = (text or "").encode().lower().split()
     if not words:
-        return [0] * 9
-    one, two = xxhash.xxh64_digest, xxhash.xxh3_128_digest
-    parts = [majority(b"".join([one(g, 42) for g in _grams(words, 3)]), 8)]
-    shingles = _grams(words, WORDS)
-    parts.append(_weighed(words))
-    parts += [majority(b"".join([two(g, seed) for g in shingles]), 16) for seed in (42, 43)]
-    return np.concatenate(parts).view(">i8").tolist()
+        return np.zeros(0, np.int64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    length = min(WORDS, len(words))
+    mixed = np.full(len(words) - length + 1, length, np.uint64)
+    for k in range(length):
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(mixed)]
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.unique((mixed ^ (mixed >> np.uint64(32))).view(np.int64))
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    ends = column.offsets.to_numpy()
+    return np.split(column.flatten().to_numpy(), ends[1:-1] - ends[0]) if len(column) else []
+
+
+def _common(signed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that stand in many texts, `COMMON` at most, and in how many.
+
+    They only order the shingles of a text, so that what many share comes last: one that is missing costs time, no pair.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            values, n = np.unique(np.concatenate(held), return_counts=True)
+            values, n = values[n > 1], n[n > 1]
+            for start in range(0, len(values), 1 << 16):
+                part = slice(start, start + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(values[part]), pa.array(n[part].astype(np.int64))], names=["token", "n"])
+
+        for batch in batches:
+            held.append(batch.column(0).flatten().to_numpy())
+            size += len(held[-1])
+            if size > 2_000_000:
+                yield from handed()
+                held, size = [], 0
+        if size:
+            yield from handed()
+
+    counts = stored(signed.select("grams").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "common")
+    scale = F.floor(F.log2("n")).alias("scale")
+    least, taken = 64, 0
+    for r in sorted(counts.groupBy(scale).count().collect(), key=lambda r: -r["scale"]):
+        taken += r["count"]
+        if taken > COMMON:
+            break
+        least = r["scale"]
+    rows = counts.where(scale >= least).toPandas().sort_values("token")
+    return rows["token"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+
+
+def _prefixes(signed: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(at, node, size, rare): the fewest shingles, rarest first, of which two sets that share 0.8 have one in common.
+
+    Sets that share 0.8 have 0.8 of the larger in common, so with one order for all texts they meet in what is left
+    of each after 0.8 of it is put aside, and one more.
+    """
+    sent = signed.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, times = sent.value
+        for batch in batches:
+            rare = []
+            for found in _lists(batch.column(3)):
+                n = np.zeros(len(found), np.int64)
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                    n = np.where(known[place] == found, times[place], 0)
+                rare.append(found[np.argsort(n, kind="stable")[: len(found) + 4 * len(found) // -5 + 1]] if len(found) else found)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rare, pa.list_(pa.int64()))], names=["at", "node", "size", "rare"])
+
+    return signed.select("at", "node", "size", "grams").mapInArrow(run, "at long, node long, size int, rare array<long>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets share 0.8, counted on the whole sets."""
+    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("left")), "a")
+    met = met.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("right")), "b")
+    both = F.size(F.array_intersect("left", "right"))
+    return met.where(9 * both >= 4 * (F.size("left") + F.size("right"))).select("a", "b")
+
+
+def _linked(rare: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, root) of all nodes that link, from (token, node, size): every pair that shares a token is decided.
+
+    While the pairs are many against the rows, a turn takes two nodes of each token, one inside its largest component
+    and one outside, and decides each against all others; nodes that are joined by then need no decision. Then all
+    pairs of different components are decided: one of the two is always outside the largest.
+    """
+    state = stored(rare.withColumn("root", F.col("node")).withColumn("used", F.lit(False)), "tokens")
+    found, turn, done = None, 0, False
+    while not done:
+        sizes = state.groupBy("token", "root").agg(F.count("*").alias("k"))
+        open_ = sizes.groupBy("token").agg(
+            F.max_by("root", F.struct("k", "root")).alias("largest"), F.sum("k").alias("n"), F.max("k").alias("most")
+        ).where("n > most")
+        open_ = stored(open_, "open")
+        pairs, rows = open_.agg(F.sum(F.expr("(n - most) * n")), F.sum("n")).first()
+        if pairs is None:
+            break
+        live = state.join(open_.select("token", "largest"), "token")
+        inside = F.col("root") == F.col("largest")
+        done = pairs <= MANY * rows or turn == TURNS
+        if done:
+            picked = live.where(~inside)
+        else:
+            order = F.struct("used", F.xxhash64("node", F.lit(turn)))
+            picked = live.groupBy("token", inside.alias("inside")).agg(F.min_by(F.struct("node", "root", "size"), order).alias("p"))
+            picked = picked.select("token", "p.*")
+        picked = picked.select("token", F.col("node").alias("p"), F.col("root").alias("p_root"), F.col("size").alias("p_size"))
+        fits = (5 * F.col("size") >= 4 * F.col("p_size")) & (5 * F.col("p_size") >= 4 * F.col("size"))
+        met = live.join(picked, "token").where((F.col("root") != F.col("p_root")) & fits)
+        met = stored(met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct(), "pairs")
+        links_ = stored(_alike(met, sets), "links")
+        found = links_ if found is None else found.unionAll(links_)
+        if not done:
+            used = picked.select(F.col("p").alias("node"), F.lit(True).alias("taken")).distinct()
+            state = state.drop("root").join(components(found), "node", "left").join(used, "node", "left")
+            state = stored(
+                state.select(
+                    "token", "node", "size", F.coalesce("root", "node").alias("root"),
+                    (F.col("used") | F.coalesce("taken", F.lit(False))).alias("used"),
+                ),
+                "tokens",
+            )
+            turn += 1
+    return components(found if found is not None else rare.select(F.col("node").alias("a"), F.col("node").alias("b")))
 
 
 def similar(df: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """Groups of texts that share about 0.8 or more of their five-word shingles, or link by `near_duplicates`.
+    """Groups of texts linked by pairs that share 0.8 or more of their different five-word shingles.
 
-    One row per input row: the id, `text_key` and `component_id`, the smallest id of its group. A few changed words turn many bits
-    of a shingle fingerprint but few of a single-word fingerprint. So the grid finds texts close in one of four
-    single-word fingerprints, and each such pair is verified on sketches of five-word shingles. Texts with the same
-    single-word fingerprint are verified against one of them, so a group of copies never becomes pairs.
+    One row per input row: the id, `text_key` and `component_id`, the smallest id of its group. Texts with the same
+    shingles are one node. Nodes that share one of their rarest shingles are candidates, which no pair at 0.8 escapes
+    (`_prefixes`), and the whole sets decide.
     """
-    names = ["bits", *_SINGLE, *_SKETCH]
 
     def row(key, tell, value):
-        return key, tell, *_signature(value)
+        grams = shingles(value)
+        node = xxhash.xxh64_intdigest(grams.tobytes())
+        return key, tell, node - (1 << 64) if node >> 63 else node, len(grams), grams
 
-    columns = ["row_id", "text_key", *names]
     signed = map_rows(
-        df, [F.col(row_id).cast("long"), text_key(F.col(text)), F.col(text)], row, ", ".join(f"{n} long" for n in columns),
-        pa.schema([(n, pa.int64()) for n in columns]),
+        df, [F.col(row_id).cast("long"), text_key(F.col(text)), F.col(text)], row,
+        "row_id long, text_key long, node long, size int, grams array<long>",
+        pa.schema([
+            ("row_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("grams", pa.list_(pa.int64())),
+        ]),
     )
-    signed = stored(signed.withColumn("node", F.xxhash64(*names)), "signatures")
-    nodes = stored(signed.groupBy("node", *names).agg(F.min("row_id").alias("least_id")), "nodes")
-    sketch = ["node", *_SKETCH]
-
-    def of(name: str) -> Column:
-        return F.xxhash64(F.lit("bits"), F.col(name))
-
-    def close(left: str, right: str) -> Column:
-        apart = [F.bit_count(F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))) for s in sketch[1:]]
-        return sum(apart[1:], apart[0]) <= SKETCH_BITS
-
-    edges = [
-        nodes.select(F.col("node").alias("a"), of("bits").alias("b")),
-        links(nodes.select("bits").distinct()).select(of("a").alias("a"), of("b").alias("b")),
-    ]
-    for word in _SINGLE:
-        center = nodes.groupBy(F.col(word).alias("bits")).agg(F.min_by(F.struct(*sketch), "node").alias("center"))
-        member = nodes.select(F.col(word).alias("bits"), F.struct(*sketch).alias("member")).join(center, "bits")
-        edges.append(
-            member.where((F.col("member.node") != F.col("center.node")) & close("member", "center"))
-            .select(F.col("member.node").alias("a"), F.col("center.node").alias("b"))
-        )
-        met = links(center.select("bits")).join(center.select(F.col("bits").alias("a"), F.col("center").alias("left")), "a")
-        met = met.join(center.select(F.col("bits").alias("b"), F.col("center").alias("right")), "b")
-        edges.append(met.where(close("left", "right")).select(F.col("left.node").alias("a"), F.col("right.node").alias("b")))
-    root = components(reduce(DataFrame.unionAll, edges))
-    member = nodes.select("node", "least_id").join(root, "node").select("node", "least_id", "root")
+    signed = stored(signed.withColumn("at", F.monotonically_increasing_id()), "shingles")
+    nodes = stored(signed.groupBy("node").agg(F.min("row_id").alias("least_id"), F.min("at").alias("at")), "nodes")
+    rare = _prefixes(signed, _common(signed)).join(nodes.select("at"), "at", "left_semi")
+    rare = rare.select("node", "size", F.explode("rare").alias("token"))
+    shared = rare.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
+    rare = stored(rare.join(shared, "token"), "rare")
+    meeting = rare.select("node").distinct().join(nodes.select("node", "at"), "node").select("at")
+    sets = stored(signed.join(meeting, "at", "left_semi").select("node", "grams"), "sets")
+    member = nodes.select("node", "least_id").join(_linked(rare, sets), "node", "left")
+    member = member.select("node", "least_id", F.coalesce("root", "node").alias("root"))
     named = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_node = member.select("node", "root").join(named, "root").select("node", "component_id")
-    return signed.join(by_node, "node").select(
+    return signed.select("row_id", "text_key", "node").join(by_node, "node").select(
         F.col("row_id").cast(df.schema[row_id].dataType).alias(row_id), "text_key", "component_id"
     )
 

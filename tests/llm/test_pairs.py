@@ -101,6 +101,38 @@ def test_similar_groups_near_copies_and_nothing_else(spark, empty):
     assert simhash.similar(empty).count() == 0
 
 
+def brute_similar(rows):
+    def grams(text):
+        words = text.lower().split()
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+    found = {k: grams(text) for k, text in rows}
+    return brute_groups(sorted(found), lambda a, b: 9 * len(found[a] & found[b]) >= 4 * (len(found[a]) + len(found[b])))
+
+
+def groups_of(spark, rows):
+    got = simhash.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    return {r.doc_id: r.component_id for r in got}
+
+
+def test_similar_finds_appended_cut_and_scattered_copies(spark):
+    chance = random.Random(12)
+    words = [f"w{k}" for k in range(2000)]
+    rows = []
+    for k in range(60):
+        doc = [chance.choice(words) for _ in range(chance.randrange(60, 400))]
+        share = chance.choice((0.05, 0.1, 0.15, 0.19))
+        more = [chance.choice(words) for _ in range(int(share * len(doc)))]
+        scattered = list(doc)
+        for _ in range(max(1, int(share * len(doc) / 10))):
+            scattered[chance.randrange(len(doc))] = chance.choice(words)
+        texts = [doc, doc + more, doc[: len(doc) - len(more)], scattered]
+        rows += [(10 * k + j, " ".join(text)) for j, text in enumerate(texts)]
+    want = brute_similar(rows)
+    assert len(set(want.values())) < 90
+    assert groups_of(spark, rows) == want
+
+
 def oracle_rows(name, **tables):
     con = duckdb.connect()
     for table, frame in tables.items():
