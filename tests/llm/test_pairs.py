@@ -133,6 +133,24 @@ def test_similar_finds_appended_cut_and_scattered_copies(spark):
     assert groups_of(spark, rows) == want
 
 
+def test_similar_leaves_texts_under_the_threshold_apart(spark):
+    chance = random.Random(13)
+    words = [f"w{k}" for k in range(2000)]
+    line = " ".join(words[:12])
+    rows = []
+    for k in range(60):
+        doc = [chance.choice(words) for _ in range(300)]
+        changed = list(doc)
+        for at in range(0, 300, 30):
+            changed[at] = "changed"
+        # 46 to 50 of 296 shingles differ: about 0.71 of all are shared.
+        rows += [(10 * k, " ".join(doc)), (10 * k + 1, " ".join(changed))]
+    rows += [(1000 + k, f"{line} " * 40 + " ".join(chance.choice(words) for _ in range(40))) for k in range(5)]
+    want = brute_similar(rows)
+    assert all(want[k] == k for k in want)
+    assert groups_of(spark, rows) == want
+
+
 def oracle_rows(name, **tables):
     con = duckdb.connect()
     for table, frame in tables.items():
