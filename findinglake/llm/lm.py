@@ -13,8 +13,8 @@ Counts cover all training texts: each task counts, Spark sums, and the table of
 counts stays distributed. Frequent tokens (`HEAD` at most, by a threshold on the
 count that a histogram yields) are broadcast; the others, each too rare to make
 a hot key, are looked up by a join of a text's remaining tokens with the table.
-Training is one pass over all training texts at a documented rate of windows,
-each task starting alike; parameters are averaged by how often each was moved.
+Training is one pass over all windows of all training texts, each task starting
+alike; parameters are averaged by how often each was moved.
 
 Cases: a null or empty text is its end alone; null ids count as training; ties
 in frequency go by token; without training texts every token is unknown, N and V
@@ -40,8 +40,8 @@ END = b"\n"
 SHORTLIST, HEAD, BUCKETS = 256, 1 << 17, 2048
 #: Tokens of context, length of a vector, noise samples for each batch, windows in a batch.
 ORDER, WIDTH, NOISE, BATCH = 3, 16, 32, 1024
-#: Share of the training windows that is trained on, spread over all texts at random.
-RATE = 0.25
+#: Share of the training windows that is trained on.
+RATE = 1.0
 _REST = SHORTLIST - 1
 _START = SHORTLIST + BUCKETS
 _HELD = 400_000

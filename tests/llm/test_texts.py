@@ -259,3 +259,15 @@ def test_lm_is_normalised_and_tail_join_agrees(spark, monkeypatch):
     places = np.zeros((1, lm.ORDER), np.int64)
     total = sum(10 ** model.log10_class(np.array([k]), places)[0] for k in range(lm.SHORTLIST))
     assert abs(total - 1) < 1e-4
+
+
+def test_lm_trains_on_every_window(spark):
+    texts = ["a b c d", None, "", "a a b"]
+    training = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    vocabulary = lm.Vocabulary(lm.gather(training).head)
+    model, windows = lm.train(training, vocabulary), [vocabulary.windows(vocabulary.places(lm.tokens((t or "").encode()))) for t in texts]
+    one = lm.Model(vocabulary.class_counts)
+    trainer = lm.Trainer(one)
+    trainer.random.random(sum(len(y) for y, _ in windows))
+    trainer.step(np.concatenate([y for y, _ in windows]), np.concatenate([x for _, x in windows]))
+    assert all(np.allclose(got, want, atol=1e-5) for got, want in zip(model.parts, one.parts))
