@@ -31,7 +31,7 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT_TAGS = "script|style|noscript|template|title|textarea|iframe|svg|math|canvas|object|audio|video|map"
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-# What marks boilerplate, as a tag, a role, or a word of a class or id.
+# What marks boilerplate, as a tag, a role, or a name in a class or id.
 ASIDE_TAGS = frozenset("nav aside footer form menu button select dialog fieldset".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu".split())
 ASIDE_WORDS = frozenset(
@@ -41,6 +41,14 @@ ASIDE_WORDS = frozenset(
     "commentlist disqus reply replies respond login signup pagination pager widget toolbar copyright disclaimer "
     "hidden".split()
 )
+#: Words that may stand beside those in a name, as in `cookie-bar` or `site-footer`; other words make it another name.
+BESIDE_WORDS = frozenset(
+    "area bar block body bottom box btn button buttons container content element form global header icons inner item items "
+    "left link links list main message outer overlay page panel policy post posts primary right secondary section site slot "
+    "stories top unit wrap wrapper".split()
+)
+HEAD_WORDS = ASIDE_WORDS | {"header"}
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 # Frequent words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -67,22 +75,33 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 
-def _stands_aside(tag: str, attributes: str, in_article: bool) -> bool:
+def _names_aside(name: str, known: frozenset[str] = ASIDE_WORDS) -> bool:
+    """Whether one whole name of a class or id is such a word, or made of them and what stands beside them."""
+    words = [word for word in re.split(r"[^a-z0-9]+", name) if word]
+    return not known.isdisjoint(words) and all(word in known or word in BESIDE_WORDS or word.isdigit() for word in words)
+
+
+def _stands_aside(tag: str, attributes: str, in_article: bool) -> str:
+    """How a block stands aside: "all" it contains, "named" by a class or id, which an article inside ends; or not."""
     if tag in ASIDE_TAGS or (tag == "header" and not in_article):
-        return True
+        return "all"
+    named = ""
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return "all"
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return "all"
         if name == "role" and value in ASIDE_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("body", "html", *ARTICLE_TAGS):
-            words = re.split(r"[^a-z0-9]+", value)
-            if not ASIDE_WORDS.isdisjoint(words) or ("header" in words and not in_article):
-                return True
-    return False
+            return "all"
+        if tag in ("body", "html") or not (name == "class" or name == "id" and not in_article):
+            continue
+        names = value.split()
+        if tag in ARTICLE_TAGS:
+            named = named or ("named" if any(_names_aside(n, COMMENT_WORDS) for n in names) else "")
+        elif any(_names_aside(n, ASIDE_WORDS if in_article else HEAD_WORDS) for n in names):
+            named = "named"
+    return named
 
 
 class _Blocks:
@@ -90,7 +109,7 @@ class _Blocks:
 
     def __init__(self):
         self.found: list[tuple[str, int, bool, bool, bool]] = []
-        self._open: list[tuple[str, bool, bool]] = []
+        self._open: list[tuple[str, str, bool]] = []
         self._pieces: list[tuple[str, bool]] = []
         self._linked = False
 
@@ -104,8 +123,8 @@ class _Blocks:
         text = " ".join(unescape("".join(raw for raw, _ in self._pieces)).split())
         if text:
             linked = sum(len(" ".join(unescape(raw).split())) for raw, link in self._pieces if link)
-            tag, aside, article = self._open[-1] if self._open else ("", False, False)
-            self.found.append((text, linked, tag in HEADINGS, aside, article))
+            tag, aside, article = self._open[-1] if self._open else ("", "", False)
+            self.found.append((text, linked, tag in HEADINGS, bool(aside), article))
         self._pieces = []
 
     def start(self, tag: str, attributes: str) -> None:
@@ -124,8 +143,11 @@ class _Blocks:
             self._open.pop()
         if tag in ("li", "option", "dt", "dd", "tr", "td", "th") and self._open and self._open[-1][0] == tag:
             self._open.pop()
-        _, aside, article = self._open[-1] if self._open else ("", False, False)
-        aside = aside or _stands_aside(tag, attributes, article)
+        _, aside, article = self._open[-1] if self._open else ("", "", False)
+        if aside == "named" and tag in ARTICLE_TAGS and not article:
+            aside = ""
+        if aside != "all":
+            aside = _stands_aside(tag, attributes, article) or aside
         self._open.append((tag, aside, article or tag in ARTICLE_TAGS))
 
     def end(self, tag: str) -> None:

@@ -271,3 +271,15 @@ def test_lm_trains_on_every_window(spark):
     trainer.random.random(sum(len(y) for y, _ in windows))
     trainer.step(np.concatenate([y for y, _ in windows]), np.concatenate([x for _, x in windows]))
     assert all(np.allclose(got, want, atol=1e-5) for got, want in zip(model.parts, one.parts))
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<div class='content with-sidebar'><article><p>One</p></article></div>", "One"),
+    ("<div id='main-no-ads'><main><p>One</p></main></div>", "One"),
+    ("<div class='social'><article><p>One</p></article></div>", "One"),
+    ("<article><section id='related-work'><p>One</p></section><h2 id='notice-period'>Two</h2><p id='related'>Three</p></article>", "One\n\nTwo\n\nThree"),
+    ("<article><p>One</p><div class='cookie-bar'><p>No</p></div><div class='box related'>No</div></article><aside><article>No</article></aside>", "One"),
+    ("<main><p>One</p></main><div class='comments'><article class='comment-body'><p>No</p></article></div><div hidden><article>No</article></div>", "One"),
+])
+def test_main_text_by_whole_names(page, want):
+    assert html.main_text(page) == want
