@@ -11,7 +11,7 @@ the probabilities of all tokens sum to one.
 
 Counts cover all training texts: each task counts, Spark sums, and the table of
 counts stays distributed. Frequent tokens (`HEAD` at most, by a threshold on the
-count that a histogram yields) are broadcast; the others, each too rare to make
+count that a histogram yields) and the end are broadcast; the others, each too rare to make
 a hot key, are looked up by a join of a text's remaining tokens with the table.
 Training is one pass over all windows of all training texts, each task starting
 alike; parameters are averaged by how often each was moved.
@@ -100,7 +100,8 @@ def gather(texts: DataFrame, text: str = "text", head: int = HEAD) -> Counts:
         if taken > head:
             break
         least = r["bin"]
-    rows = table.where(_bin(F.col("n")) >= least).collect()
+    # The end has place 0 in every vocabulary and is never looked up in the table, so its count comes along at any threshold.
+    rows = table.where((_bin(F.col("n")) >= least) | (F.col("token") == F.lit(END))).collect()
     ordered = sorted(((bytes(r["token"]), r["n"]) for r in rows), key=lambda r: (-r[1], r[0]))
     return Counts(table, sum(r["n"] for r in bins), sum(r["v"] for r in bins), dict(ordered), least)
 

@@ -273,6 +273,20 @@ def test_lm_trains_on_every_window(spark):
     assert all(np.allclose(got, want, atol=1e-5) for got, want in zip(model.parts, one.parts))
 
 
+def test_lm_counts_the_end_below_the_threshold(spark):
+    texts = [" ".join(["often"] * 40 + ["more"] * 30 + [f"w{k}"]) for k in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held_out = F.col("doc_id") == 5
+    training = docs.where(~held_out)
+    counts = lm.gather(training, head=2)
+    assert counts.head == {b"often": 200, b"more": 150, lm.END: 5}
+    vocabulary = lm.Vocabulary(counts.head)
+    assert vocabulary.listed_total == 355
+    got = lm.score(docs, held_out, counts, vocabulary, lm.Model(vocabulary.class_counts)).collect()
+    want = lm.score_corpus(docs, held_out).collect()
+    assert {(r.doc_id, r.n_known, round(r.base_score, 6)) for r in got} == {(r.doc_id, r.n_known, round(r.base_score, 6)) for r in want}
+
+
 @pytest.mark.parametrize("page,want", [
     ("<div class='content with-sidebar'><article><p>One</p></article></div>", "One"),
     ("<div id='main-no-ads'><main><p>One</p></main></div>", "One"),
