@@ -177,7 +177,7 @@ def _common(signed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             held.append(batch.column(0).flatten().to_numpy())
             size += len(held[-1])
-            if size > 2_000_000:
+            if size > 500_000:
                 yield from handed()
                 held, size = [], 0
         if size:
