@@ -21,10 +21,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or (tests) one set here."""
+    """The folder all executors share: the session's spark.checkpoint.dir; one set here only in local mode, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="findinglake-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, language, licenses, lm, quality, secrets, simhash, topk
+from . import bpe, conversations, decontaminate, html, language, licenses, lm, quality, secrets, simhash, topk, urls, whitening
 from .common import read
 
 
@@ -76,6 +76,23 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(
+        [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"),
+         ("net", "/fr/", "block")],
+        "host string, path string, verdict string",
+    )
+    return urls.judge(read(spark, sf_dir, "pages"), urls.build_index(rules))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_license_scans": op1_license_scans,
     "op2_html_extraction": op2_html_extraction,
@@ -87,6 +104,9 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_url_filters": op11_url_filters,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
@@ -136,4 +156,22 @@ ORACLES: dict[str, str] = {
             FROM scored
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op11_url_filters": r"""
+        WITH p AS (
+            SELECT row_number() OVER () AS r, page_id,
+                   translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages
+        ), rules (rule_host, rule_path, verdict) AS (
+            VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                   ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+        ), best AS (
+            SELECT r, arg_max(rule_host || rule_path, len(rule_host || rule_path)) AS rule,
+                   arg_max(verdict, len(rule_host || rule_path)) AS verdict
+            FROM p JOIN rules ON (host = rule_host OR suffix(host, '.' || rule_host)) AND starts_with(path, rule_path)
+            GROUP BY r
+        )
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN best USING (r)""",
+    "op13_conversation_repair": conversations.ORACLE,
 }
