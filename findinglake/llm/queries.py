@@ -61,8 +61,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe.encode(read(spark, sf_dir, "documents"), path, pattern)
-    return bpe.decode(ids, path, pattern).select(
+    return bpe.round_trip(read(spark, sf_dir, "documents"), path, pattern).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

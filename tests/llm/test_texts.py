@@ -26,7 +26,12 @@ def library():
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
 
 
-def test_bpe_equals_the_library(encoder, library):
+@pytest.fixture(scope="module")
+def decoder():
+    return bpe.Decoder(bpe.load_ranks(PATH))
+
+
+def test_bpe_equals_the_library(encoder, decoder, library):
     chance = random.Random(3)
     texts = ["", "a" * 5000, "ab" * 3000, " " * 300 + "x", "\n\n \t x", "<|endoftext|>", "it's we'll 'S", "\U0001F600é漢字ß"]
     texts += ["".join(chance.choice("aeth nr\n'1é漢.") for _ in range(chance.randrange(400))) for _ in range(300)]
@@ -34,38 +39,59 @@ def test_bpe_equals_the_library(encoder, library):
     for text in texts:
         ids = np.frombuffer(encoder.encode(text), "<u4").tolist()
         assert ids == library.encode_ordinary(text)
-        assert encoder.decode(encoder.encode(text)) == text.encode()
-
-
-def test_bpe_rank_queue_pops_lowest_rank_then_leftmost():
-    queue, chance = bpe.RankQueue(50_000), random.Random(1)
-    pushed = [(chance.randrange(50_000), chance.randrange(100)) for _ in range(2000)]
-    for rank, at in pushed:
-        queue.push(rank, at)
-    popped = []
-    while queue:
-        popped.append(queue.pop())
-    assert popped == sorted(pushed)
-
-
-def test_bpe_memory_is_bounded(encoder, monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 10)
+    decoded = decoder.decode([encoder.encode(text) for text in texts] + [None, b""])
+    assert decoded.to_pylist() == [text.encode() for text in texts] + [b"", b""]
+
+
+def plain_merge(ranks, piece):
+    """Merge the leftmost pair of the lowest rank, by looking at all pairs each time."""
+    parts = [bytes([b]) for b in piece]
+    while True:
+        found = [(ranks[a + b], at) for at, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not found or piece in ranks:
+            return [ranks[piece]] if piece in ranks else [ranks[p] for p in parts]
+        _, at = min(found)
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+
+def test_bpe_takes_the_lowest_rank_then_the_leftmost():
+    chance = random.Random(1)
+    for _ in range(60):
+        tokens = {bytes([b]) for b in range(256)}
+        while len(tokens) < 330:
+            a, b = (chance.choice(sorted(t for t in tokens if set(t) <= set(b"abc"))) for _ in range(2))
+            tokens.add(a + b)
+        order = sorted(tokens)
+        chance.shuffle(order)
+        ranks = dict(zip(order, chance.sample(range(2000), len(order))))
+        encoder = bpe.Encoder(ranks, r".+")
+        for _ in range(40):
+            piece = bytes(chance.choice(b"abc") for _ in range(chance.randrange(1, 40)))
+            assert encoder.merge(piece) == plain_merge(ranks, piece)
+
+
+def test_bpe_memory_is_bounded_and_frequent_tokens_stay(monkeypatch, library):
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 4000)
     small = bpe.Encoder(bpe.load_ranks(PATH), PATTERN)
-    small.encode(" ".join(f"word{k}x" for k in range(200)) + "a" * 500)
-    assert len(small) <= 10
+    text = " ".join(f"word{k}x frequentish" for k in range(200)) + "a" * 500
+    assert np.frombuffer(small.encode(text), "<u4").tolist() == library.encode_ordinary(text)
+    assert len(small) + len(small._old) <= 40
+    assert " frequentish" in small or " frequentish" in small._old
 
 
-def test_bpe_unknown_id(encoder):
-    with pytest.raises(ValueError):
-        encoder.decode(np.array([999_999], "<u4").tobytes())
+def test_bpe_unknown_id(decoder):
+    for unknown in (999_999, max(bpe.load_ranks(PATH).values()) + 1):
+        with pytest.raises(ValueError):
+            decoder.decode([np.array([5, unknown], "<u4").tobytes()])
 
 
 def test_bpe_edges(edge, empty, encoder):
-    rows = bpe.decode(bpe.encode(edge, PATH, PATTERN), PATH, PATTERN).collect()
     source = edge.select("doc_id", "text").collect()
-    assert sorted((str(r.doc_id), bytes(r.decoded)) for r in rows) == sorted((str(r.doc_id), (r.text or "").encode()) for r in source)
-    assert all(len(r.ids) == 4 * r.n_tokens for r in rows)
-    assert bpe.encode(empty, PATH, PATTERN).count() == 0
+    for rows in (bpe.decode(bpe.encode(edge, PATH, PATTERN), PATH), bpe.round_trip(edge, PATH, PATTERN)):
+        rows = rows.collect()
+        assert sorted((str(r.doc_id), bytes(r.decoded)) for r in rows) == sorted((str(r.doc_id), (r.text or "").encode()) for r in source)
+        assert all(len(r.ids) == 4 * r.n_tokens and bytes(r.ids) == encoder.encode(bytes(r.decoded).decode()) for r in rows)
+    assert bpe.encode(empty, PATH, PATTERN).count() == bpe.round_trip(empty, PATH, PATTERN).count() == 0
 
 
 def brute_spans(text):
