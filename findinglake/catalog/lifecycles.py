@@ -75,6 +75,34 @@ def counts(spark, sf_dir):
     return lc.scan_counts(_state_before(spark, sf_dir), _batch(spark, sf_dir), _examined(spark, sf_dir))
 
 
+#: Three months of scans, one for each repository and day.
+LATER = datetime(2001, 6, 1)
+
+
+def _quarter(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    seen = observations(spark, sf_dir).where(
+        (F.col("observed_at") >= F.lit(CUT).cast("timestamp_ntz")) & (F.col("observed_at") < F.lit(LATER).cast("timestamp_ntz"))
+    ).withColumn("scan", F.datediff(F.col("observed_at").cast("date"), F.lit(CUT.date())).cast("long"))
+    day = F.date_add(F.lit(CUT.date()), (F.col("scan") + 1).cast("int")).cast("timestamp_ntz")
+    times = seen.select("repository_id", "scan").distinct().withColumn("scanned_at", day)
+    findings = seen.where(F.col("rf") != "R").select(
+        "repository_id", "scan", "fingerprint", "rule_id", "category", "severity", "file_path", "line", F.col("rule_id").alias("title"),
+        F.when((F.col("rf") == "A") & (F.col("line") % 2 == 0), "likely").alias("verdict"), F.struct(*_ORDER).alias("seq"),
+    )
+    examined = seen.select("repository_id", "scan", F.col("file_path").alias("path"), F.when(F.col("line") < 7, F.array("line")).alias("lines"))
+    state = _state_before(spark, sf_dir)
+    return {"state": state, "spans": lc.finding_spans(state, lc.fold_sightings(findings, times), examined, times)}
+
+
+def folded_quarter(spark, sf_dir):
+    """The state after all scans of three months, folded in one pass."""
+    return lc.fold_state(**_quarter(spark, sf_dir))
+
+
+def folded_quarter_counts(spark, sf_dir):
+    return lc.fold_counts(_quarter(spark, sf_dir)["spans"])
+
+
 def labels(spark, sf_dir):
     rows = lc.label_new(_batch(spark, sf_dir), _state_before(spark, sf_dir))
     return rows.groupBy("repository_id", "severity", "is_new").agg(F.count("*").alias("n"))
@@ -103,6 +131,8 @@ QUERIES = {
     "lifecycle_labels": labels,
     "state_snapshot": snapshot,
     "repository_ids": repository_ids,
+    "folded_quarter": folded_quarter,
+    "folded_quarter_counts": folded_quarter_counts,
     "open_fingerprints": lambda spark, sf: lc.open_fingerprints(_state_before(spark, sf)),
 }
 
@@ -128,7 +158,63 @@ fresh as (select * from batch b where not exists (select 1 from old o where o.st
      and b.repository_id=o.repository_id and b.fingerprint=o.fingerprint))
 """
 
+_QUARTER = f"""{_BASE},
+qu as (select *, date_diff('day', date '2001-03-01', cast(observed_at as date)) scan
+       from obs where observed_at >= date '2001-03-01' and observed_at < date '2001-06-01'),
+told as (select *, row_number() over w_first first_rn, row_number() over w_last last_rn,
+         case when rf='A' and line%2=0 then 'likely' end said
+         from qu where rf<>'R'
+         window w_first as (partition by repository_id,fingerprint,scan order by observed_at,okey,line,pkey,skey,price),
+           w_last as (partition by repository_id,fingerprint,scan
+             order by observed_at desc,okey desc,line desc,pkey desc,skey desc,price desc)),
+sight as (select repository_id, fingerprint, scan, count(*) n,
+          max(case when first_rn=1 then rule_id end) f_rule, max(case when first_rn=1 then category end) f_category,
+          max(case when last_rn=1 then severity end) severity, max(case when last_rn=1 then file_path end) file_path,
+          max(case when last_rn=1 then line end) line, max(case when last_rn=1 then rule_id end) title, max(said) said
+          from told group by 1,2,3),
+looked as (select distinct repository_id, scan, file_path, case when line>=7 then -1 else line end line from qu
+           union select repository_id, scan, file_path, line from told),
+stretch as (select *, lead(scan) over k next_scan, lead(n) over k next_n, lag(scan) over k is null leads from (
+              select repository_id, fingerprint, scan, n, file_path, line, severity, title from sight
+              union all select repository_id, fingerprint, -1, null, file_path, line, severity, title from old
+                where status='open' and repository_id in (select repository_id from qu)) q
+            window k as (partition by repository_id, fingerprint order by scan)),
+ends as (select t.repository_id, t.fingerprint, t.scan, t.n, t.next_scan, t.next_n, t.leads, min(l.scan) closes
+         from stretch t left join looked l on l.repository_id=t.repository_id and l.file_path=t.file_path
+           and (l.line=-1 or l.line=t.line) and l.scan>t.scan and (t.next_scan is null or l.scan<t.next_scan)
+         group by all)
+"""
+
 ORACLES = {
+    "folded_quarter": f"""{_QUARTER},
+        lastly as (select *, row_number() over (partition by repository_id, fingerprint order by scan desc) rn,
+            min(scan) over (partition by repository_id, fingerprint) first_scan from sight),
+        opening as (select repository_id, fingerprint, f_rule, f_category from (select *, row_number() over (
+            partition by repository_id, fingerprint order by scan) rn from sight) q where rn=1),
+        judged as (select repository_id, fingerprint, said from (select *, row_number() over (
+            partition by repository_id, fingerprint order by scan desc) rn from sight where said is not null) q where rn=1),
+        l as (select * from lastly where rn=1),
+        e as (select repository_id, fingerprint, closes from (select *, row_number() over (
+            partition by repository_id, fingerprint order by scan desc) rn from ends) q where rn=1)
+        select repository_id, fingerprint, coalesce(o.rule_id, p.f_rule) rule_id, coalesce(o.category, p.f_category) category,
+          coalesce(l.severity, o.severity) severity, coalesce(l.file_path, o.file_path) file_path, coalesce(l.line, o.line) line,
+          coalesce(l.title, o.title) title,
+          case when e.closes is not null then 'resolved' when l.scan is not null then 'open' else o.status end status,
+          coalesce(j.said, o.verdict) verdict,
+          coalesce(o.first_seen_at, timestamp '2001-03-02' + to_days(cast(l.first_scan as integer))) first_seen_at,
+          coalesce(timestamp '2001-03-02' + to_days(cast(l.scan as integer)), o.last_seen_at) last_seen_at,
+          case when e.closes is not null then timestamp '2001-03-02' + to_days(cast(e.closes as integer))
+               when l.scan is null then o.resolved_at end resolved_at
+        from old o full outer join l using (repository_id, fingerprint) left join opening p using (repository_id, fingerprint)
+          left join judged j using (repository_id, fingerprint) left join e using (repository_id, fingerprint)""",
+    "folded_quarter_counts": f"""{_QUARTER},
+        parts as (
+          select repository_id, scan, n reported, case when leads then n else 0 end new, 0 resolved from ends where scan>=0
+          union all select repository_id, next_scan, 0, next_n, 0 from ends where closes is not null and next_scan is not null
+          union all select repository_id, closes, 0, 0, 1 from ends where closes is not null)
+        select repository_id, cast(scan as bigint) scan, cast(sum(reported) as bigint) findings_count,
+          cast(sum(new) as bigint) new_findings_count, cast(sum(resolved) as bigint) resolved_findings_count
+        from parts group by 1,2""",
     "lifecycle_new": f"{_BASE} select repository_id, fingerprint, rule_id, severity, file_path, line, verdict from fresh",
     "lifecycle_resolved": f"{_BASE} select repository_id, fingerprint, file_path, line from closed",
     "lifecycle_scan_counts": f"""{_BASE},

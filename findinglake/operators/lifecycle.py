@@ -1,16 +1,21 @@
 """Open / resolved lifecycle of findings across scans.
 
-A batch holds at most one scan per repository. Everything is keyed joins on
-(repository_id, fingerprint) and (repository_id, path, line); the state table
-is written once as a new snapshot version.
+Everything is keyed joins on (repository_id, fingerprint) and (repository_id,
+path, line). `apply_scan` takes at most one scan per repository; `finding_spans`
+and what follows it fold any number of scans of each repository in one pass.
 """
 
 from __future__ import annotations
 
+import json
+import os
 from dataclasses import dataclass
 from datetime import datetime
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -178,13 +183,130 @@ def with_new_repositories(repositories: DataFrame, names: DataFrame, as_of: Colu
     return repositories.unionByName(created.select("id", "full_name", "created_at"))
 
 
+#: Where a finding that was open before the first scan of a batch stands in the order of scans.
+_BEFORE = -1
+
+
+def fold_sightings(findings: DataFrame, times: DataFrame) -> DataFrame:
+    """One row per key and scan: how often and where it was reported, its first identity, last columns and last verdict.
+
+    `findings` are a batch's with `scan`, the place of their scan among those of the repository (0 or more); `times`
+    has (repository_id, scan, scanned_at).
+    """
+    judged = F.when(F.col("verdict").isNotNull(), F.col("seq"))
+    folded = findings.groupBy(*KEY, "scan").agg(
+        F.count("*").alias("n"),
+        F.collect_set(F.struct("file_path", "line")).alias("places"),
+        F.min_by(F.struct("rule_id", "category"), F.col("seq")).alias("identity"),
+        F.max_by(F.struct("severity", "file_path", "line", "title"), F.col("seq")).alias("latest"),
+        F.max_by(F.col("verdict"), judged).alias("verdict"),
+    )
+    return folded.join(times.select("repository_id", "scan", F.col("scanned_at").cast("timestamp_ntz").alias("at")), ["repository_id", "scan"])
+
+
+def finding_spans(state: DataFrame, sightings: DataFrame, examined: DataFrame, times: DataFrame) -> DataFrame:
+    """Stretches between a key's sightings, each with the scan that closes it, if one does.
+
+    A stretch begins with a sighting, or with a row that is open before the batch, and ends with the next sighting. It
+    is closed by the first scan in between that looked at where the finding then was. Scans that looked at a place are
+    found once for each place and beginning, so a file with many findings is asked about as often as it was scanned.
+    """
+    begun = state.where(F.col("status") == "open").join(times.select("repository_id").distinct(), "repository_id", "left_semi").select(
+        *KEY, F.lit(_BEFORE).cast("long").alias("scan"), F.struct("severity", "file_path", "line", "title").alias("latest")
+    )
+    by_key = Window.partitionBy(*KEY).orderBy("scan")
+    spans = sightings.drop("places").unionByName(begun, allowMissingColumns=True).select(
+        "*",
+        F.lead("scan").over(by_key).alias("next_scan"), F.lead("n").over(by_key).alias("next_n"),
+        F.lag("scan").over(by_key).isNull().alias("leads"),
+    )
+    place = ["repository_id", "file_path", "line"]
+    looked = (
+        examined.select(
+            "repository_id", "scan", F.col("path").alias("file_path"), F.explode(F.coalesce("lines", F.array(F.lit(_WHOLE)))).alias("line")
+        )
+        .unionByName(sightings.select("repository_id", "scan", F.inline("places")))
+        .distinct()
+        .join(times.select("repository_id", "scan", F.col("scanned_at").cast("timestamp_ntz").alias("at")), ["repository_id", "scan"])
+    )
+    asked = spans.select("*", F.explode(F.array(F.lit(_WHOLE), F.col("latest.line"))).alias("asked_line"))
+    asked = asked.withColumns({"file_path": F.col("latest.file_path"), "line": F.col("asked_line")})
+    later = Window.partitionBy(*place).orderBy("scan").rangeBetween(1, Window.unboundedFollowing)
+    beginnings = asked.select(*place, "scan").distinct()
+    found = (
+        looked.select(*place, "scan", F.struct("scan", "at").alias("seen"), F.lit(False).alias("asks"))
+        .unionByName(beginnings.select(*place, "scan", F.lit(True).alias("asks")), allowMissingColumns=True)
+        .select(*place, "scan", "asks", F.min("seen").over(later).alias("closes"))
+        .where("asks and closes is not null")
+        .drop("asks")
+    )
+    met = asked.join(found, [*place, "scan"], "left")
+    inside = F.col("closes.scan") < F.coalesce("next_scan", F.lit((1 << 62)))
+    # A stretch asks for its file as a whole and for its line; the earlier answer closes it.
+    return met.groupBy(*KEY, "scan").agg(
+        *(F.first(c).alias(c) for c in ("at", "n", "identity", "latest", "verdict", "next_scan", "next_n", "leads")),
+        F.min(F.when(inside, F.col("closes"))).alias("closes"),
+    )
+
+
+def fold_state(state: DataFrame, spans: DataFrame) -> DataFrame:
+    """The state table after all scans of `spans`; rows that none of them touches stay as they are."""
+    sighted = F.col("n").isNotNull()
+    order = F.when(sighted, F.col("scan"))
+    delta = spans.groupBy(*KEY).agg(
+        F.min_by("identity", order).alias("b_identity"), F.max_by("latest", order).alias("b_latest"),
+        F.max_by("verdict", F.when(F.col("verdict").isNotNull(), F.col("scan"))).alias("b_verdict"),
+        F.min_by("at", order).alias("b_first"), F.max_by("at", order).alias("b_last"),
+        F.max_by("closes.at", "scan").alias("b_closed"),
+    )
+    both = state.withColumn("s_known", F.lit(True)).join(delta, KEY, "full_outer")
+    was_seen, was_closed = F.col("b_identity").isNotNull(), F.col("b_closed").isNotNull()
+    fresh = F.col("s_known").isNull()
+
+    def refreshed(name: str) -> Column:
+        return F.when(was_seen, F.col(f"b_latest.{name}")).otherwise(F.col(name)).alias(name)
+
+    return both.select(
+        *KEY,
+        *(F.when(fresh, F.col(f"b_identity.{c}")).otherwise(F.col(c)).alias(c) for c in ("rule_id", "category")),
+        *(refreshed(c) for c in ("severity", "file_path", "line", "title")),
+        F.when(was_closed, "resolved").when(was_seen, "open").otherwise(F.col("status")).alias("status"),
+        F.coalesce("b_verdict", "verdict").alias("verdict"),
+        F.coalesce("first_seen_at", "b_first").alias("first_seen_at"),
+        F.coalesce("b_last", "last_seen_at").alias("last_seen_at"),
+        F.when(was_closed, F.col("b_closed")).when(~was_seen, F.col("resolved_at")).alias("resolved_at"),
+    )
+
+
+def fold_counts(spans: DataFrame) -> DataFrame:
+    """Per repository and scan: findings reported, those that were not open before it, those that it resolved."""
+    none = F.lit(0).cast("long")
+
+    def part(scan: Column, reported: Column, new: Column, resolved: Column) -> Column:
+        return F.when(
+            scan.isNotNull() & (scan != _BEFORE),
+            F.struct(scan.alias("scan"), reported.alias("reported"), new.alias("new"), resolved.alias("resolved")),
+        )
+
+    n, closed = F.col("n"), F.col("closes").isNotNull()
+    parts = F.array_compact(F.array(
+        part(F.col("scan"), n, F.when(F.col("leads"), n).otherwise(none), none),
+        part(F.when(closed, F.col("next_scan")), none, F.col("next_n"), none),
+        part(F.col("closes.scan"), none, none, F.lit(1).cast("long")),
+    ))
+    return spans.select("repository_id", F.inline(parts)).groupBy("repository_id", "scan").agg(
+        F.sum("reported").alias("findings_count"), F.sum("new").alias("new_findings_count"), F.sum("resolved").alias("resolved_findings_count")
+    )
+
+
 @dataclass(frozen=True)
 class ScanBatch:
-    """One scan per repository, keyed by repository name.
+    """Finished scans, keyed by repository name.
 
     scans: full_name, pull_request_number, head_sha, base_sha, title, author,
     files_scanned, duration_ms, and scanned_at unless all ran at one time. findings: full_name, seq, finding columns and
-    optional verdict columns. examined: full_name, path, lines.
+    optional verdict columns. examined: full_name, path, lines. If a repository has several scans, all three have `scan`,
+    its place among them (0 or more).
     """
 
     scans: DataFrame
@@ -192,98 +314,169 @@ class ScanBatch:
     examined: DataFrame
 
 
+class TakenError(RuntimeError):
+    """Another writer committed the version first; nothing of this batch is recorded."""
+
+
 class History:
-    """Versioned parquet history.
+    """History of parquet tables that only grows by whole batches.
+
+    A batch writes into a folder of its own: new repositories, its scans, its findings, and the state of the buckets
+    that its repositories lie in (a bucket is a fixed hash of repository_id). Then one small file, named by the version
+    and made only if no file of that name exists, makes the folder part of the history. A reader takes the state of a
+    bucket from the last version that touched it. So a batch that fails or comes second changes nothing that others can
+    see, buckets without its repositories keep their files, and a retried task only writes into the batch's own folder.
 
-    One writer at a time: a batch that finds its version taken is refused.
-    Each batch writes `version=N` folders and then one commit row. Readers
-    only follow committed versions, and a retried batch overwrites its own
-    folders, so a lost executor or a failed driver leaves no half-applied scan.
+    The exclusive creation is the file system's: a link on local disks, `create` without overwrite elsewhere, which
+    HDFS makes atomic.
     """
 
+    BUCKETS = 64
+    _COMMIT = "version long, folder string, buckets array<int>, of int"
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def version(self) -> int:
+    def _commits(self) -> list[Row]:
+        """The commits, oldest first: one small row for each batch ever recorded."""
         try:
-            commits = self.spark.read.schema("version long").parquet(f"{self.root}/commits")
-            return commits.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
-        except Exception as error:  # the folder does not exist before the first commit
+            return self.spark.read.schema(self._COMMIT).json(f"{self.root}/commits").orderBy("version").collect()
+        except AnalysisException as error:  # the folder does not exist before the first commit
             if "PATH_NOT_FOUND" in str(error):
-                return 0
+                return []
             raise
 
-    def _snapshot(self, name, schema, version):
-        if version == 0:
-            return self.spark.createDataFrame([], schema)
-        return conform(self.spark.read.parquet(f"{self.root}/{name}/version={version}"), schema)
+    def version(self) -> int:
+        return max((c.version for c in self._commits()), default=0)
 
-    def _log(self, name, schema, version):
-        if version == 0:
+    def _read(self, paths: list[str], schema) -> DataFrame:
+        if not paths:
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.parquet(f"{self.root}/{name}")
-        return conform(rows.where(F.col("version") <= version), schema)
+        return conform(self.spark.read.parquet(*paths), schema)
+
+    def _state(self, commits: list[Row], buckets: set[int] | None = None) -> DataFrame:
+        last = {bucket: c.folder for c in commits for bucket in c.buckets}
+        paths = [f"{self.root}/data/{folder}/finding_state/bucket={b}" for b, folder in sorted(last.items()) if buckets is None or b in buckets]
+        return self._read(paths, FINDING_STATE)
 
     def tables(self, version: int | None = None):
         """Store over the newest (or a given) committed version."""
         from ..sources.tables import Store
 
-        v = self.version() if version is None else version
+        commits = [c for c in self._commits() if version is None or c.version <= version]
+        logs = {name: [f"{self.root}/data/{c.folder}/{name}" for c in commits] for name in ("repositories", "scans", "findings")}
         return Store(
-            repositories=self._snapshot("repositories", REPOSITORIES, v),
-            scans=self._log("scans", SCANS, v),
-            finding_state=self._snapshot("finding_state", FINDING_STATE, v),
-            findings=self._log("findings", OBSERVATIONS, v),
+            repositories=self._read(logs["repositories"], REPOSITORIES),
+            scans=self._read(logs["scans"], SCANS),
+            finding_state=self._state(commits),
+            findings=self._read(logs["findings"], OBSERVATIONS),
         )
 
-    def _write(self, df: DataFrame, name: str, version: int) -> DataFrame:
-        path = f"{self.root}/{name}/version={version}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+    def days(self) -> DataFrame:
+        """The table of days that trends read: what all batches changed, added up."""
+        from ..plans.rollups import DAYS, merged
+
+        paths = [f"{self.root}/data/{c.folder}/days" for c in self._commits()]
+        return merged(self.spark.read.schema(DAYS).parquet(*paths) if paths else self.spark.createDataFrame([], DAYS))
+
+    def _commit(self, version: int, folder: str, buckets: list[int]) -> None:
+        text = json.dumps({"version": version, "folder": folder, "buckets": buckets, "of": self.BUCKETS})
+        path = f"{self.root}/commits/{version:020d}.json"
+        if not create_exclusively(self.spark, path, text):
+            raise TakenError(f"another writer committed version {version} meanwhile; this batch is not recorded")
 
     def record(self, batch: ScanBatch, as_of: datetime) -> int:
-        """Apply one batch and commit it; returns the new version."""
+        """Apply one batch, scans of a repository in their order, and commit it; returns the new version."""
+        from ..plans.rollups import day_changes
+
         before = self.version()
+        commits = [c for c in self._commits() if c.version <= before]
+        if any(c.of != self.BUCKETS for c in commits):
+            raise ValueError(f"this history has {commits[0].of} buckets, not {self.BUCKETS}")
         store = self.tables(before)
         now = F.lit(as_of).cast("timestamp_ntz")
-        nxt = before + 1
-        timed = "scanned_at" in batch.scans.columns
+        folder = uuid4().hex
+
+        def write(df: DataFrame, name: str, schema, *by: str) -> DataFrame:
+            path = f"{self.root}/data/{folder}/{name}"
+            df.write.partitionBy(*by).parquet(path)
+            return self.spark.read.schema(df.schema if schema is None else schema).parquet(path)
 
-        repositories = self._write(
-            with_new_repositories(
-                store.repositories, batch.scans.select("full_name", *(["scanned_at"] if timed else [])).distinct(), now
-            ),
-            "repositories", nxt,
+        timed = "scanned_at" in batch.scans.columns
+        several = "scan" in batch.scans.columns
+        scans, findings, examined = batch.scans, batch.findings, batch.examined
+        if not several:
+            scans, findings, examined = (df.withColumn("scan", F.lit(0)) for df in (scans, findings, examined))
+        scans = scans.withColumn("scan", F.col("scan").cast("long")).withColumn(
+            "scanned_at", F.coalesce(F.col("scanned_at").cast("timestamp_ntz"), now) if timed else now
         )
-        ids = repositories.select(F.col("id").alias("repository_id"), "full_name")
-        findings = batch.findings.join(ids, "full_name")
+        grown = with_new_repositories(store.repositories, scans.select("full_name", "scanned_at"), now)
+        fresh = write(conform(grown.join(store.repositories.select("id"), "id", "left_anti"), REPOSITORIES), "repositories", REPOSITORIES)
+        ids = store.repositories.unionByName(fresh).select(F.col("id").alias("repository_id"), "full_name")
+        runs = scans.join(ids, "full_name")
+        bucket = F.pmod(F.xxhash64("repository_id"), F.lit(self.BUCKETS)).cast("int")
+        buckets = sorted(r[0] for r in runs.select(bucket.alias("b")).distinct().collect())
+
+        findings = findings.join(ids, "full_name").withColumn("scan", F.col("scan").cast("long"))
         for optional in ("verdict", "triage_confidence", "triage_model"):
             if optional not in findings.columns:
                 findings = findings.withColumn(optional, F.lit(None).cast("string"))
-        examined = batch.examined.join(ids, "full_name")
-        runs = batch.scans.join(ids, "full_name")
+        examined = examined.join(ids, "full_name").withColumn("scan", F.col("scan").cast("long"))
+        old = self._state(commits, set(buckets))
+        spans = write(finding_spans(old, fold_sightings(findings, runs), examined, runs), "spans", None)
 
+        name = F.concat_ws("\0", "full_name", F.lpad(F.col("scan").cast("string"), 20, "0"))
+        runs = runs.withColumn("scan_name", name)
         top = store.scans.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-        numbered = dense_ids(runs.select("full_name"), "full_name", top.scalar())
-        counts = scan_counts(store.finding_state, findings, examined)
-        scans = (
-            runs.join(numbered, "full_name")
-            .join(counts, "repository_id", "left")
-            .na.fill(0, ["findings_count", "new_findings_count", "resolved_findings_count"])
-            .withColumn("created_at", F.coalesce(F.col("scanned_at").cast("timestamp_ntz"), now) if timed else now)
-        )
-        scans = self._write(conform(scans, SCANS), "scans", nxt)
-        sightings = findings.join(
-            scans.select(F.col("id").alias("scan_id"), "repository_id", "created_at"), "repository_id"
-        )
-        self._write(conform(sightings, OBSERVATIONS), "findings", nxt)
-        self._write(
-            conform(apply_scan(store.finding_state, findings, examined, now, runs if timed else None), FINDING_STATE),
-            "finding_state", nxt,
+        counted = ["findings_count", "new_findings_count", "resolved_findings_count"]
+        numbered = (
+            runs.join(dense_ids(runs, "scan_name", top.scalar()), "scan_name")
+            .join(fold_counts(spans), ["repository_id", "scan"], "left")
+            .na.fill(0, counted)
+            .withColumn("created_at", F.col("scanned_at"))
         )
+        numbered = write(numbered, "scans", None)
+        own = numbered.select(F.col("id").alias("scan_id"), "repository_id", "scan", "created_at")
+        write(conform(findings.drop("created_at").join(own, ["repository_id", "scan"]), OBSERVATIONS), "findings", OBSERVATIONS)
+        after = conform(fold_state(old, spans), FINDING_STATE).withColumn("bucket", bucket)
+        # Rebalancing deals out what the state of a large bucket needs to several files.
+        after = write(after.hint("rebalance", "bucket"), "finding_state", None, "bucket")
+        write(day_changes(old, after), "days", None)
+        # A repository without findings leaves its bucket as it is, maybe without a file.
+        buckets = sorted(r[0] for r in after.select("bucket").distinct().collect())
         if self.version() != before:
-            raise RuntimeError(f"another writer committed version {nxt} meanwhile; this batch is not recorded")
-        commit = self.spark.createDataFrame([(nxt,)], "version long")
-        commit.coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
-        return nxt
+            raise TakenError(f"another writer committed version {before + 1} meanwhile; this batch is not recorded")
+        self._commit(before + 1, folder, buckets)
+        return before + 1
+
+
+def create_exclusively(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a file with its whole text unless there is one; false if there is."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.getScheme() == "file":
+        local = where.toUri().getPath()
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        part = os.path.join(os.path.dirname(local), f".{uuid4().hex}")
+        with open(part, "x", encoding="utf-8") as file:
+            file.write(text)
+        try:
+            os.link(part, local)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(part)
+        return True
+    try:
+        stream = system.create(where, False)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in str(error.java_exception.getClass().getName()):
+            return False
+        raise
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    return True

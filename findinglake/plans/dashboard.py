@@ -177,13 +177,18 @@ def trend(store: Store, flt: StatsFilter, by_severity: bool = False) -> DataFram
             *[F.count_if((F.col("e.kind") == "introduced") & (F.col("e.severity") == s)).alias(s) for s in SEVERITIES],
         )
     )
+    return balance(per_day, store, flt, by_severity)
+
+
+def balance(per_day: DataFrame, store: Store, flt: StatsFilter, by_severity: bool) -> DataFrame:
+    """A row for each day of the window from the days in which anything happened (introduced, resolved, carried, severities)."""
     daily = day_spine(store, flt).join(per_day, "date", "left").na.fill(
         0, ["introduced", "resolved", "carried", *SEVERITIES]
     )
     running = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     moved = F.col("carried") + F.col("introduced") - F.col("resolved")
-    balance = daily.withColumn("p", F.sum(moved).over(running))
-    out = balance.withColumn("open", F.col("p") - F.least(F.lit(0), F.min("p").over(running)))
+    moving = daily.withColumn("p", F.sum(moved).over(running))
+    out = moving.withColumn("open", F.col("p") - F.least(F.lit(0), F.min("p").over(running)))
     columns = ["date", "introduced", "resolved", "open"]
     return out.select(*columns, *(SEVERITIES if by_severity else ()))
 

@@ -1,13 +1,14 @@
 """Deliveries and scan batches as streams.
 
-Events are handled one at a time in no particular order, so there is no window
-and no watermark: a micro-batch is routed by columns and applied as a batch.
+A sender repeats a delivery until it is acknowledged, so each id is let through
+once within a time set by a watermark; what is known of older ids is forgotten,
+and a delivery that comes later than that is left out. Apart from this, events
+are handled in any order: a micro-batch is routed by columns and applied as a
+batch.
 """
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,11 +19,25 @@ from ..operators.lifecycle import History, ScanBatch
 from ..sources.webhooks import parse_events
 
 DELIVERIES = "delivery string, event string, payload string"
+#: For how long after its last event the id of a delivery is remembered.
+REMEMBERED = "1 hour"
+
+
+def read_deliveries(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """Webhook deliveries dropped as JSON lines; one without a time counts as received when it is read."""
+    rows = spark.readStream.schema(f"{DELIVERIES}, received_at timestamp").option("maxFilesPerTrigger", files_per_batch).json(folder)
+    return rows.withColumn("received_at", F.coalesce("received_at", F.current_timestamp()))
 
 
-def read_deliveries(spark: SparkSession, folder: str) -> DataFrame:
-    """Webhook deliveries dropped as JSON lines."""
-    return spark.readStream.schema(DELIVERIES).json(folder)
+def once(deliveries: DataFrame, remembered: str = REMEMBERED) -> DataFrame:
+    """Each delivery id once.
+
+    A delivery without an id cannot be told from another and stays. The watermark lies `remembered` behind the newest
+    delivery; what was received before it is late and left out, and an id is forgotten once the watermark passes it by
+    as much again.
+    """
+    keyed = deliveries.withColumn("_id", F.coalesce("delivery", F.concat(F.lit("\0"), F.uuid())))
+    return keyed.withWatermark("received_at", remembered).dropDuplicatesWithinWatermark(["_id"]).drop("_id")
 
 
 def reviewable(deliveries: DataFrame) -> DataFrame:
@@ -30,9 +45,9 @@ def reviewable(deliveries: DataFrame) -> DataFrame:
     return parse_events(deliveries).where(F.col("kind") == "pull_request")
 
 
-def write_reviewable(deliveries: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def write_reviewable(deliveries: DataFrame, out: str, checkpoint: str, remembered: str = REMEMBERED) -> StreamingQuery:
     return (
-        reviewable(deliveries)
+        reviewable(once(deliveries, remembered))
         .writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -46,24 +61,22 @@ def record_stream(
     """Apply scans to the history as they arrive.
 
     A row is one finished scan: full_name, scanned_at, scan columns, findings
-    (array), examined (array). Scans of one repository inside a micro-batch are
-    applied in their order, each round taking the next scan of every
-    repository. A scan is known by its repository, time and head: one that the
+    (array), examined (array). All scans of a micro-batch are folded in one pass, those of a repository in their
+    order. A scan is known by its repository, time and head: one that the
     history has already is left out, so a micro-batch that is replayed, with
-    the same checkpoint or a fresh one, after any of its rounds, changes nothing.
+    the same checkpoint or a fresh one, changes nothing.
     """
 
     def apply(batch: DataFrame, _epoch: int) -> None:
-        batch = unrecorded(batch, history)
-        order = Window.partitionBy("full_name").orderBy("scanned_at")
-        # Persisted because each round reads it; sized by one micro-batch.
-        rounds = batch.withColumn("round", F.row_number().over(order)).persist()
+        order = Window.partitionBy("full_name").orderBy("scanned_at", "head_sha")
+        # Persisted because its parts are read one by one; sized by one micro-batch.
+        scans = unrecorded(batch, history).withColumn("scan", F.row_number().over(order).cast("long")).persist()
         try:
-            last = rounds.agg(F.coalesce(F.max("round"), F.lit(0))).first()[0]
-            for number in range(1, last + 1):
-                _record(rounds.where(F.col("round") == number), history)
+            at = scans.agg(F.max("scanned_at")).first()[0]
+            if at is not None:
+                history.record(_parted(scans), at)
         finally:
-            rounds.unpersist()
+            scans.unpersist()
 
     return (
         spark.readStream.schema(schema)
@@ -91,8 +104,10 @@ def unrecorded(scans: DataFrame, history: History) -> DataFrame:
     return scans.dropDuplicates(["full_name", "scanned_at", "head_sha"]).join(known, same, "left_anti")
 
 
-def _record(scans: DataFrame, history: History) -> None:
-    findings = scans.select("full_name", F.posexplode("findings").alias("seq", "f")).select("full_name", "seq", "f.*")
-    examined = scans.select("full_name", F.explode("examined").alias("e")).select("full_name", "e.path", "e.lines")
-    at: datetime = scans.agg(F.max("scanned_at")).first()[0]
-    history.record(ScanBatch(scans=scans.drop("findings", "examined"), findings=findings, examined=examined), at)
+def _parted(scans: DataFrame) -> ScanBatch:
+    key = ["full_name", "scan"]
+    return ScanBatch(
+        scans=scans.drop("findings", "examined"),
+        findings=scans.select(*key, F.posexplode("findings").alias("seq", "f")).select(*key, "seq", "f.*"),
+        examined=scans.select(*key, F.explode("examined").alias("e")).select(*key, "e.path", "e.lines"),
+    )

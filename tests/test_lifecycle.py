@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from findinglake.operators import lifecycle as lc
@@ -130,6 +131,83 @@ def test_history_versions_and_retry(spark, tmp_path):
     assert history.tables().finding_state.count() == 3
 
 
+def sequential_scans(rng, n_repos=2, n_scans=6):
+    """Scans of several repositories: (repo, scan, batch, examined), in order."""
+    for scan in range(n_scans):
+        for repo in range(1, n_repos + 1):
+            batch = [
+                finding(f"f{rng.randrange(8)}", rng.randrange(1, 5), rng.choice(["a.py", "b.py"]), rng.choice(["high", "low"]),
+                        rng.choice([None, None, "confirmed", "refuted"]), seq, repo)
+                for seq in range(rng.randrange(0, 5))
+            ]
+            yield repo, scan, batch, [(repo, rng.choice(["a.py", "b.py"]), rng.choice([None, [1, 2], [3], []])) for _ in range(rng.randrange(3))]
+
+
+def test_folding_many_scans_equals_one_after_the_other(spark):
+    rng = random.Random(12)
+    for _ in range(3):
+        expected, first = {}, []
+        for _, _, batch, examined in sequential_scans(rng, n_scans=2):
+            fold(expected, batch, examined, STATE0)
+        first = [
+            (k[0], k[1], r["rule_id"], r["category"], r["severity"], r["file_path"], r["line"], r["title"], r["status"], r["verdict"],
+             r["first"], r["last"], r["resolved"])
+            for k, r in expected.items()
+        ]
+        counts, findings, looked, times = {}, [], [], []
+        for repo, scan, batch, examined in sequential_scans(rng):
+            now = STATE0 + timedelta(days=scan + 1, hours=repo)
+            counts[repo, scan] = (len(batch), *fold(expected, batch, examined, now))
+            findings += [(*f, scan) for f in batch]
+            looked += [(*e, scan) for e in examined]
+            times.append((repo, scan, now))
+        state = spark.createDataFrame(first, FINDING_STATE)
+        when = spark.createDataFrame(times, "repository_id long, scan long, scanned_at timestamp_ntz")
+        spans = lc.finding_spans(
+            state, lc.fold_sightings(spark.createDataFrame(findings, f"{BATCH}, scan long"), when),
+            spark.createDataFrame(looked, f"{EXAMINED}, scan long"), when,
+        )
+        assert rows(lc.fold_state(state, spans)) == expected
+        got = {(r.repository_id, r.scan): tuple(r)[2:] for r in lc.fold_counts(spans).collect()}
+        assert got == {k: c for k, c in counts.items() if any(c)}
+
+
+def test_a_writer_that_comes_second_changes_nothing(spark, tmp_path):
+    root = str(tmp_path / "h")
+    first, second = lc.History(spark, root), lc.History(spark, root)
+    late = _batch(spark, "o/b", [finding("f2")], [])
+    first.record(_batch(spark, "o/a", [finding("f1")], []), STATE0)
+    before = {n: sorted(map(str, getattr(first.tables(), n).collect())) for n in ("repositories", "scans", "finding_state", "findings")}
+    # The second writer read version 0 before the first committed, and never looks again: the commit itself refuses it.
+    second.version = lambda: 0
+    second._commits = lambda: []
+    with pytest.raises(lc.TakenError):
+        second.record(late, STATE0)
+    assert {n: sorted(map(str, getattr(first.tables(), n).collect())) for n in before} == before
+    assert [r.full_name for r in first.tables().repositories.collect()] == ["o/a"] and first.version() == 1
+    assert lc.History(spark, root).record(late, STATE0) == 2
+    assert sorted(r.full_name for r in first.tables().repositories.collect()) == ["o/a", "o/b"]
+
+
+def test_buckets_without_the_batch_keep_their_files(spark, tmp_path):
+    history = lc.History(spark, str(tmp_path / "h"))
+    for name in ("o/a", "o/b", "o/c"):
+        history.record(_batch(spark, name, [finding("x"), finding("y", 2)], []), STATE0)
+    before = set(history.tables().finding_state.inputFiles())
+    history.record(_batch(spark, "o/b", [finding("y", 7)], [("a.py", None)]), STATE0 + timedelta(days=1))
+    after = set(history.tables().finding_state.inputFiles())
+    touched = [f for f in before - after]
+    assert len(before & after) >= len(before) - 1 and len(touched) == 1
+    assert history.tables(3).finding_state.where("status = 'open'").count() == 6
+    assert history.tables().finding_state.where("status = 'open'").count() == 5
+
+
+def test_only_one_of_many_creates_a_file(spark, tmp_path):
+    path = str(tmp_path / "c" / "1.json")
+    assert [lc.create_exclusively(spark, path, text) for text in ("a", "b")] == [True, False]
+    assert open(path).read() == "a" and len(list((tmp_path / "c").iterdir())) == 1
+
+
 def test_dense_ids_are_consecutive(spark):
     names = spark.range(1000).select(F.concat(F.lit("n"), "id").alias("full_name"))
     ids = [r.id for r in lc.dense_ids(names, "full_name", F.lit(10)).collect()]
