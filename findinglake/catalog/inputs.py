@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..fixed_values.advisories import ADVISORIES, POPULAR_NPM_PACKAGES
 from ..fixed_values.enums import CONFIDENCES, SEVERITIES, VERDICTS
 from ..functions.versions import compare, key_is_affected, key_or_null, lowest_version
-from ..operators.dependency_rules import lookalike
+from ..operators.dependency_rules import lookalikes
 from ..operators.excerpts import excerpts
 from ..operators.verdicts import parse_verdicts
 from ..sources import advisories as adv
@@ -250,7 +250,9 @@ def typosquat(spark, sf_dir):
         .when(k % 5 == 3, F.concat(base, F.lit("xy")))
         .otherwise(F.concat(F.lit("z"), base.substr(F.lit(2), F.lit(99))))
     )
-    return read(spark, sf_dir, "part").select(k.alias("part"), name.alias("name")).withColumn("near", lookalike(F.col("name"))).where("near is not null")
+    listed = spark.createDataFrame([(p, at) for at, p in enumerate(POPULAR_NPM_PACKAGES)], "name string, place int")
+    named = read(spark, sf_dir, "part").select(k.alias("part"), name.alias("name"))
+    return lookalikes(named, listed).where("near is not null").select("part", "name", "near")
 
 
 def _questions(spark, sf_dir):

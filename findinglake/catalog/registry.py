@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code, dashboards, inputs, lifecycles, reviews, texts
+from . import code, dashboards, growth, inputs, lifecycles, reviews, texts
 
-_MODULES = (dashboards, lifecycles, reviews, texts, inputs, code)
+_MODULES = (dashboards, lifecycles, reviews, texts, inputs, code, growth)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
