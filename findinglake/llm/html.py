@@ -224,12 +224,10 @@ def extract(df: DataFrame, html: str = "html", row_id: str = "page_id", also: tu
         return (key, *rest, text, len(text))
 
     names = [f"also{k}" for k in range(len(also))]
-    schema = pa.schema(
-        [("row_id", pa.int64()), *((n, pa.string()) for n in names), ("text", pa.string()), ("n_chars", pa.int64())]
-    )
+    schema = pa.schema([*((n, pa.string()) for n in names), ("text", pa.string()), ("n_chars", pa.int64())])
     out = map_rows(
-        df, [F.col(row_id).cast("long"), F.col(html), *(F.col(c).cast("string") for c in also)], row,
-        ", ".join(["row_id long", *(f"{n} string" for n in names), "text string", "n_chars long"]), schema, text_at=1,
+        df, [F.col(row_id), F.col(html), *(F.col(c).cast("string") for c in also)], row,
+        ", ".join(["row_id", *(f"{n} string" for n in names), "text string", "n_chars long"]), schema, text_at=1,
     )
     return out.select(
         F.col("row_id").cast(df.schema[row_id].dataType).alias(row_id),

@@ -172,7 +172,7 @@ def identify(
         return key, *judges[0].judge(value)
 
     out = map_rows(
-        df, [F.col(row_id).cast("long"), F.col(text)], row, "row_id long, lang_pred string, score double",
-        pa.schema([("row_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())]),
+        df, [F.col(row_id), F.col(text)], row, "row_id, lang_pred string, score double",
+        pa.schema([("lang_pred", pa.string()), ("score", pa.float64())]),
     )
     return out.select(F.col("row_id").cast(df.schema[row_id].dataType).alias(row_id), "lang_pred", "score")

@@ -287,10 +287,10 @@ def score(
 
     counts_any = counts.n_tokens > 0
     parts = map_rows(
-        df, [F.col(row_id).cast("long"), held_out, F.col(text).cast("binary")], row,
-        "row_id long, held_out boolean, n_tokens long, known long, base double, modelled double, tail array<binary>, times array<int>",
+        df, [F.col(row_id), held_out, F.col(text).cast("binary")], row,
+        "row_id, held_out boolean, n_tokens long, known long, base double, modelled double, tail array<binary>, times array<int>",
         pa.schema([
-            ("row_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()),
+            ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()),
             ("modelled", pa.float64()), ("tail", pa.list_(pa.binary())), ("times", pa.list_(pa.int32())),
         ]),
     )

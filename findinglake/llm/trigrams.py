@@ -83,7 +83,7 @@ def _repeat(part: _Known, least: int, most: int | None) -> _Known:
 
 
 class _Reader:
-    """Reads literals, classes, groups, alternatives and repeats; refuses look-around and back-references."""
+    """Reads literals, classes, groups, alternatives and repeats; looks past look-behind; refuses look-ahead and back-references."""
 
     def __init__(self, pattern: str):
         self.pattern, self.at = pattern, 0
@@ -129,11 +129,15 @@ class _Reader:
     def atom(self) -> _Known:
         sign = self.take()
         if sign == "(":
+            kind = ":"
             if self.peek() == "?":
                 self.take()
-                if self.take() != ":":
+                kind = self.take()
+                if kind == "<" and self.peek() in ("=", "!"):
+                    self.take()
+                elif kind != ":":
                     raise ValueError(f"group not supported in {self.pattern!r}")
-            inner = self.alternatives()
+            inner = self.alternatives() if kind == ":" else self.looked()
             if self.at >= len(self.pattern) or self.take() != ")":
                 raise ValueError(f"unbalanced group in {self.pattern!r}")
             return inner
@@ -154,6 +158,11 @@ class _Reader:
             return _one_of({self.escaped(kind)})
         return _one_of({sign})
 
+    def looked(self) -> _Known:
+        """Look-behind takes no character, so it is read past and nothing is asked for it."""
+        self.alternatives()
+        return _Known({b""})
+
     def escaped(self, kind: str) -> str:
         if kind == "x":
             self.at += 2
