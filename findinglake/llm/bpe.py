@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import BATCH_CHARS
 
 #: Pre-tokens of more characters are not remembered; bytes that each of two generations of remembered ones may take.
-REMEMBERED_CHARS, REMEMBERED_BYTES = 48, 48 << 20
+REMEMBERED_CHARS, REMEMBERED_BYTES = 48, 36 << 20
 #: What a dictionary takes for an entry besides its text and ids.
 _ENTRY_BYTES = 180
 _WORD_BITS = 8

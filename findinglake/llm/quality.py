@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, sliced
 
 BUCKETS = 1 << 18
 #: Labelled rows that the model is fitted on, at most.
@@ -137,7 +137,11 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, epochs: int = 12, batch: int
 
 
 def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text", row_id: str = "doc_id") -> Model:
-    """Fit on at most `sample` labelled rows; the sampled labels have that bound, so they are broadcast and texts stay."""
+    """Fit on at most `sample` labelled rows; the sampled labels have that bound, so they are broadcast and texts stay.
+
+    An id may stand in many documents, so the bound holds once more for what they give, by the hash of the features; rows
+    after that are not learned from.
+    """
     known = labels.select(F.col(row_id).alias("_id"), grade(F.col("quality"), F.col("toxic")).cast("int").alias("_grade"))
     chosen = known.where("_id is not null and _grade is not null").orderBy(F.xxhash64("_id"), "_id", "_grade").limit(sample)
     rows = documents.select(F.col(row_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
@@ -148,7 +152,7 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: s
     got = map_rows(
         rows, [F.col("_text"), F.col("_grade")], row, "grade int, buckets binary",
         pa.schema([("grade", pa.int32()), ("buckets", pa.binary())]), text_at=0,
-    ).collect()
+    ).orderBy(F.xxhash64("buckets"), "buckets", "grade").limit(sample).collect()
     got.sort()
     return fit([np.frombuffer(b, np.int32) for _, b in got], np.array([g for g, _ in got], np.int64))
 
@@ -162,22 +166,23 @@ def grade_texts(df: DataFrame, model: Model, keep: float = KEEP, text: str = "te
         return key, float(tails.sum()), float(tails[0]), float(tails[1]), bool(tails[1] >= keep)
 
     out = map_rows(
-        df, [F.col(row_id).cast("long"), F.col(text)], row,
-        "row_id long, expected_grade double, p_fair double, p_good double, keep boolean",
-        pa.schema([("row_id", pa.int64()), ("expected_grade", pa.float64()), ("p_fair", pa.float64()),
+        df, [F.col(row_id), F.col(text)], row,
+        "row_id, expected_grade double, p_fair double, p_good double, keep boolean",
+        pa.schema([("expected_grade", pa.float64()), ("p_fair", pa.float64()),
                    ("p_good", pa.float64()), ("keep", pa.bool_())]),
     )
     return out.select(F.col("row_id").cast(df.schema[row_id].dataType).alias(row_id), "expected_grade", "p_fair", "p_good", "keep")
 
 
 def select_good(df: DataFrame, model: Model, keep: float = KEEP, text: str = "text") -> DataFrame:
-    """The rows of `df` that the model keeps, all columns as they are."""
+    """The rows of `df` that the model keeps, all columns as they are; a worker is sent the text alone."""
     sent = df.sparkSession.sparkContext.broadcast(model)
-    at = df.columns.index(text)
 
-    def run(batches):
-        for batch in batches:
-            good = [bool(sent.value.tails(sent.value.score(features(t)))[1] >= keep) for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(good, pa.bool_()))
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        found = []
+        for part in sliced(texts):
+            found += [bool(sent.value.tails(sent.value.score(features(t)))[1] >= keep) for t in part]
+        return pa.array(found, pa.bool_())
 
-    return df.mapInArrow(run, df.schema)
+    return df.where(good(F.col(text)))
