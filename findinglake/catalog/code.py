@@ -17,7 +17,7 @@ from ..operators.scan import ScanOptions, hidden_per_file, scan, summary
 from ..operators.taint import taint_map
 from ..functions.text import detect_language
 from ..sources.manifests import advisory_queries, parse_manifests
-from ..sources.tables import read
+from ..sources.tables import read, spread
 
 # (folder, extension, code lines, expected (line, end_line, rule, severity, confidence), tainted names)
 HEADS = (
@@ -233,7 +233,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick([folder for folder, *_ in HEADS], key), F.lit("/"), F.col("source"), F.lit("/f"), key.cast("string"),
         F.lit("."), _pick([ext for _, ext, *_ in HEADS], key),
     )
-    return read(spark, sf_dir, "documents").select(
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
         key.alias("file_idx"), path.alias("file_path"), F.concat_ws("\n", head, "text").alias("content"),
         F.lit("modified").alias("status"), F.lit(None).cast("array<int>").alias("changed_lines"),
     )
@@ -348,7 +348,7 @@ def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = (k % 6).cast("int")
     content = F.when(kind == 0, npm).when(kind == 1, pip).when(kind == 2, go).when(kind == 3, gem).when(kind == 4, pom).otherwise(composer)
     path = F.concat_ws("/", F.lit("svc"), k.cast("string"), F.element_at(F.array(*[F.lit(x) for x in _KINDS]), kind + 1))
-    return read(spark, sf_dir, "part").select(
+    return spread(read(spark, sf_dir, "part").select("p_partkey")).select(
         k.alias("file_idx"), path.alias("file_path"), content.alias("content"), F.lit("modified").alias("status"),
         F.lit(None).cast("array<int>").alias("changed_lines"),
     )

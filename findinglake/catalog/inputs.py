@@ -14,7 +14,7 @@ from ..operators.excerpts import excerpts
 from ..operators.verdicts import parse_verdicts
 from ..sources import advisories as adv
 from ..sources import patches as pt
-from ..sources.tables import read
+from ..sources.tables import read, spread
 from ..sources.webhooks import parse_events, signature_state
 from .texts import _scrubbed_sql
 
@@ -46,7 +46,7 @@ def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
         "index 1..2\n@@ -", a, ",3 +", b, ",4 @@ def f", o, "():\n keep ", o, "\n-old ", o, "\n+new ", o, "\n+more\n tail\n",
         "@@ -", a + 100, " +", b + 105, ",2 @@\n+++x\n\\ No newline at end of file\n-gone ", c, "\n",
     )
-    return read(spark, sf_dir, "orders").select(o.alias("id"), c.alias("c"), body.alias("patch"))
+    return spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).select(o.alias("id"), c.alias("c"), body.alias("patch"))
 
 
 def patch_lines(spark, sf_dir):

@@ -10,7 +10,7 @@ from ..fixed_values import credentials as C
 from ..functions import globs, scrub
 from ..functions import text as tx
 from ..operators.lines import block
-from ..sources.tables import read
+from ..sources.tables import read, spread
 
 
 def _digest(value):
@@ -45,7 +45,7 @@ _PLANTED_SQL = """concat(chr(10), 'key AKIA', upper(substr(h,1,16)), ' and ghp_'
 
 
 def scrub_documents(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
     clean = scrub.scrub_credentials(F.concat("text", _planted(F.col("doc_id"))))
     masks = (F.length("c") - F.length(F.replace("c", F.lit(C.MASK), F.lit("")))) / len(C.MASK)
     return docs.select("doc_id", F.explode(F.array(clean)).alias("c")).select(
@@ -84,7 +84,7 @@ def entropy(spark, sf_dir):
 
 
 def line_fingerprints(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
     path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     snippet = tx.truncate(F.col("raw"))
     return docs.select(

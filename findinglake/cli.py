@@ -12,6 +12,8 @@ import argparse
 import os
 import subprocess
 import sys
+from urllib.parse import urlparse
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,8 @@ from .operators.scan import ScanOptions, files_scanned, rank_order, ranked, scan
 from .plans.report import sarif_documents
 from .schemas import FILES
 from .sources.files import collect_from_paths
-from .sources.patches import changed_lines, parsed_lines, split_multi_file_diff
+from .sources.patches import changed_lines, parsed_lines, read_diff
+from .sources.shared import shared_dir
 
 
 def _arguments(argv: list[str]) -> argparse.Namespace:
@@ -68,15 +71,20 @@ def _settings(args: argparse.Namespace) -> tuple[Settings, tuple[str, ...]]:
 
 
 def changed_files(spark: SparkSession, ref: str, settings: Settings) -> DataFrame:
-    """Files of a git diff with their new content and changed lines."""
-    text = subprocess.run(
-        ["git", "diff", "--no-color", "--unified=3", "--diff-filter=d", ref, "--"],
-        capture_output=True, text=True, check=True,
-    ).stdout
-    diffs = spark.createDataFrame([(0, text)], "id int, diff string")
+    """Files of a git diff with their new content and changed lines.
+
+    git writes the diff to a file, which Spark reads in parts; this process holds none of it.
+    """
+    folder = urlparse(shared_dir(spark)).path
+    os.makedirs(folder, exist_ok=True)
+    diff = os.path.join(folder, f"diff-{uuid4().hex}.txt")
+    with open(diff, "xb") as out:
+        subprocess.run(
+            ["git", "diff", "--no-color", "--unified=3", "--diff-filter=d", ref, "--"], stdout=out, stderr=subprocess.PIPE, check=True,
+        )
     path = F.col("path")
     wanted = ~is_generated_path(path) & is_scannable(path) & path_in_scope(path, settings.include, settings.exclude)
-    patches = split_multi_file_diff(diffs, ["id"]).where(wanted).select(
+    patches = read_diff(spark, f"file://{diff}").where(wanted).select(
         "path", changed_lines(parsed_lines(F.col("patch"))).alias("changed_lines")
     )
     # Only the files that the diff names are read.

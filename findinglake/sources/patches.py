@@ -6,7 +6,7 @@ before, so a line's numbers follow from its hunk's start and the kinds above it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -196,6 +196,27 @@ def split_multi_file_diff(diffs: DataFrame, keys: list[str], diff: str = "diff")
     one = diffs.select(*keys, F.posexplode(sections).alias("section", "text"))
     lines = F.slice(F.split("text", "\n"), 2, 2**31 - 2)
     shaped = one.select(*keys, "section", F.when(F.col("section") == 0, F.split("text", "\n")).otherwise(lines).alias("lines"))
+    return _section_patches(shaped, keys)
+
+
+def read_diff(spark: SparkSession, path: str) -> DataFrame:
+    """`split_multi_file_diff` of a diff in a file of any size: path, patch.
+
+    A file header is the separator of records, so Spark reads the diff in byte ranges, each from the first header in it
+    to the end of the section that its end cuts, and no text passes the driver.
+    """
+    rows = spark.read.option("lineSep", "\ndiff --git ").text(path).select(
+        F.col("value").alias("text"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("at")).alias("section")
+    )
+    lines = F.split("text", "\n")
+    # The first line is what is left of a header, unless the diff begins without one.
+    bare = F.col("text").startswith("--- ")
+    shaped = rows.select("section", F.when(bare, lines).otherwise(F.slice(lines, 2, 2**31 - 2)).alias("lines"))
+    return _section_patches(shaped, [])
+
+
+def _section_patches(shaped: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, path, patch of sections given as keys, section (their order) and lines."""
     at_path = F.transform(
         F.filter(F.transform("lines", lambda l, i: F.struct(i.alias("i"), l.alias("l"))), lambda x: x["l"].startswith("+++ ")),
         lambda x: x,

@@ -27,6 +27,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A number of partitions that the caller asks for where texts are worked on row by row; unset, a scan takes its input's.
+SPREAD = "spark.findinglake.partitions"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out to as many partitions as the session asks for, if it does: one shuffle of these columns.
+
+    For inputs of few, large row groups, which one task each would read and work through.
+    """
+    wanted = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(wanted)) if wanted else df
+
+
 def hashed(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(" ", *parts), 256), 1, 20)
 

@@ -131,6 +131,31 @@ def test_cache_expiry_and_negative_answers(spark):
         assert rest.count() == pending
 
 
+def test_a_diff_in_a_file_is_read_in_parts(spark, tmp_path):
+    """Sections that byte ranges cut, a path named twice, a section with text like a header, and a diff without headers."""
+    rng = random.Random(3)
+    parts = []
+    for k in range(4000):
+        name = f"src/f{k % 3900}.py"
+        body = "\n".join(rng.choice(["+", "-", " "]) + "x" * rng.randrange(300) + rng.choice(["", " diff --git a b"]) for _ in range(rng.randrange(1, 40)))
+        parts.append(f"diff --git a/{name} b/{name}\nindex 1..2\n--- a/{name}\n+++ b/{name}\n@@ -1,9 +1,9 @@\n{body}\n")
+    parts.append("diff --git a/gone b/gone\n--- a/gone\n+++ /dev/null\n@@ -1 +0,0 @@\n-x\n")
+    whole = "".join(parts)
+    (tmp_path / "all.diff").write_text(whole)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(len(whole) // 20))
+    try:
+        found = pt.read_diff(spark, f"file://{tmp_path}/all.diff")
+        assert spark.read.option("lineSep", "\ndiff --git ").text(f"file://{tmp_path}/all.diff").rdd.getNumPartitions() >= 10
+        got = {r.path: r.patch for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    frame = spark.createDataFrame([(1, whole)], "id int, diff string")
+    assert got == {r.path: r.patch for r in pt.split_multi_file_diff(frame, ["id"]).collect()} and len(got) == 3900
+    (tmp_path / "bare.diff").write_text("--- a/x.py\n+++ b/x.py\n@@ -1 +1 @@\n-a\n+b\n")
+    assert [tuple(r) for r in pt.read_diff(spark, f"file://{tmp_path}/bare.diff").collect()] == [("x.py", "@@ -1 +1 @@\n-a\n+b")]
+
+
 def test_streams(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()
