@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored, text_key
+from .common import bucketed, discard, map_rows, stored, text_key
 
 MAX_BITS = 3
 #: Words in a shingle of the similarity that `similar` asks for; common shingles that are broadcast to order the rest.
@@ -73,8 +73,7 @@ def fingerprints(df: DataFrame, text: str = "text", row_id: str = "doc_id", shin
 
     key_type = df.schema[row_id].dataType
     return map_rows(
-        df, [F.col(row_id).cast("long"), F.col(text)], row, "row_id long, bits long",
-        pa.schema([("row_id", pa.int64()), ("bits", pa.int64())]),
+        df, [F.col(row_id), F.col(text)], row, "row_id, bits long", pa.schema([("bits", pa.int64())]),
     ).select(F.col("row_id").cast(key_type).alias(row_id), "bits")
 
 
@@ -119,7 +118,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "v").where("m > v").select(F.col("m").alias("v"), F.col("r").alias("m")).distinct()
         least = large.groupBy("v").agg(F.min("m").alias("r"))
         small = large.join(least, "v").where("m <> r").select(F.col("m").alias("v"), F.col("r").alias("m"))
+        before = edges
         edges = stored(small.unionAll(least.select("v", F.col("r").alias("m"))).distinct(), "edges")
+        discard(before)
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "m"))).first()
         if state == seen:
             break
@@ -158,7 +159,7 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
     return np.split(column.flatten().to_numpy(), ends[1:-1] - ends[0]) if len(column) else []
 
 
-def _common(signed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingles that stand in many texts, `COMMON` at most, and in how many.
 
     They only order the shingles of a text, so that what many share comes last: one that is missing costs time, no pair.
@@ -183,7 +184,7 @@ def _common(signed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if size:
             yield from handed()
 
-    counts = stored(signed.select("grams").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "common")
+    counts = stored(sets.select("grams").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "common")
     scale = F.floor(F.log2("n")).alias("scale")
     least, taken = 64, 0
     for r in sorted(counts.groupBy(scale).count().collect(), key=lambda r: -r["scale"]):
@@ -195,31 +196,41 @@ def _common(signed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows["token"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
-def _prefixes(signed: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(at, node, size, rare): the fewest shingles, rarest first, of which two sets that share 0.8 have one in common.
+def _prefixes(sets: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(node, size, rare): the fewest shingles, rarest first, of which two sets that share 0.8 have one in common.
 
     Sets that share 0.8 have 0.8 of the larger in common, so with one order for all texts they meet in what is left
     of each after 0.8 of it is put aside, and one more.
     """
-    sent = signed.sparkSession.sparkContext.broadcast(common)
+    sent = sets.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = sent.value
         for batch in batches:
             rare = []
-            for found in _lists(batch.column(3)):
+            for found in _lists(batch.column(2)):
                 n = np.zeros(len(found), np.int64)
                 if len(known):
                     place = np.minimum(np.searchsorted(known, found), len(known) - 1)
                     n = np.where(known[place] == found, times[place], 0)
                 rare.append(found[np.argsort(n, kind="stable")[: len(found) + 4 * len(found) // -5 + 1]] if len(found) else found)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rare, pa.list_(pa.int64()))], names=["at", "node", "size", "rare"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(rare, pa.list_(pa.int64()))], names=["node", "size", "rare"])
 
-    return signed.select("at", "node", "size", "grams").mapInArrow(run, "at long, node long, size int, rare array<long>")
+    return sets.select("node", "size", "grams").mapInArrow(run, "node long, size int, rare array<long>")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose sets share 0.8, counted on the whole sets."""
+    """Those of the pairs (a, b) of nodes whose sets share 0.8, counted on the whole sets, which stay in their buckets.
+
+    First the counts of hashes by their last byte are compared: the lesser ones add up to no less than what two sets
+    share, so a pair that they rule out is not alike, and only for the others does a set travel to another.
+    """
+    counts = sets.select("node", "size", "counts")
+    left = counts.select(F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("counts").alias("a_counts"))
+    right = counts.select(F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("counts").alias("b_counts"))
+    most = F.aggregate(F.zip_with("a_counts", "b_counts", lambda x, y: F.least(x, y)), F.lit(0), lambda total, n: total + n)
+    likely = pairs.join(left, "a").join(right, "b").where(9 * most >= 4 * (F.col("a_size") + F.col("b_size")))
+    pairs = stored(likely.select("a", "b"), "likely")
     met = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("left")), "a")
     met = met.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("right")), "b")
     both = F.size(F.array_intersect("left", "right"))
@@ -258,18 +269,24 @@ def _linked(rare: DataFrame, sets: DataFrame) -> DataFrame:
         met = live.join(picked, "token").where((F.col("root") != F.col("p_root")) & fits)
         met = stored(met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct(), "pairs")
         links_ = stored(_alike(met, sets), "links")
+        discard(met)
         found = links_ if found is None else found.unionAll(links_)
         if not done:
             used = picked.select(F.col("p").alias("node"), F.lit(True).alias("taken")).distinct()
-            state = state.drop("root").join(components(found), "node", "left").join(used, "node", "left")
-            state = stored(
-                state.select(
+            roots = components(found)
+            after = state.drop("root").join(roots, "node", "left").join(used, "node", "left")
+            after = stored(
+                after.select(
                     "token", "node", "size", F.coalesce("root", "node").alias("root"),
                     (F.col("used") | F.coalesce("taken", F.lit(False))).alias("used"),
                 ),
                 "tokens",
             )
+            discard(state, roots)
+            state = after
             turn += 1
+        discard(open_)
+    discard(state)
     return components(found if found is not None else rare.select(F.col("node").alias("a"), F.col("node").alias("b")))
 
 
@@ -281,31 +298,42 @@ def similar(df: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFr
     (`_prefixes`), and the whole sets decide.
     """
 
-    def row(key, tell, value):
-        grams = shingles(value)
+    def node_of(grams: np.ndarray) -> int:
         node = xxhash.xxh64_intdigest(grams.tobytes())
-        return key, tell, node - (1 << 64) if node >> 63 else node, len(grams), grams
-
-    signed = map_rows(
-        df, [F.col(row_id).cast("long"), text_key(F.col(text)), F.col(text)], row,
-        "row_id long, text_key long, node long, size int, grams array<long>",
-        pa.schema([
-            ("row_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("grams", pa.list_(pa.int64())),
-        ]),
+        return node - (1 << 64) if node >> 63 else node
+
+    def named(key, tell, value):
+        return key, tell, node_of(shingles(value))
+
+    def shingled(key, value):
+        grams = shingles(value)
+        counts = np.bincount(grams.astype(np.uint64).astype(np.uint8), minlength=256)
+        return key, node_of(grams), len(grams), counts, grams
+
+    rows = stored(map_rows(
+        df, [F.col(row_id), text_key(F.col(text)), F.col(text)], named, "row_id, text_key long, node long",
+        pa.schema([("text_key", pa.int64()), ("node", pa.int64())]),
+    ), "rows")
+    # Texts are shingled once more here: the sets of one text for each node are stored, and no others.
+    sets = map_rows(
+        df, [F.col(row_id), F.col(text)], shingled, "row_id, node long, size int, counts array<int>, grams array<long>",
+        pa.schema([("node", pa.int64()), ("size", pa.int32()), ("counts", pa.list_(pa.int32())), ("grams", pa.list_(pa.int64()))]),
+    ).groupBy("node").agg(
+        F.min("row_id").alias("least_id"), *(F.any_value(c).alias(c) for c in ("size", "counts", "grams"))
     )
-    signed = stored(signed.withColumn("at", F.monotonically_increasing_id()), "shingles")
-    nodes = stored(signed.groupBy("node").agg(F.min("row_id").alias("least_id"), F.min("at").alias("at")), "nodes")
-    rare = _prefixes(signed, _common(signed)).join(nodes.select("at"), "at", "left_semi")
-    rare = rare.select("node", "size", F.explode("rare").alias("token"))
-    shared = rare.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
-    rare = stored(rare.join(shared, "token"), "rare")
-    meeting = rare.select("node").distinct().join(nodes.select("node", "at"), "node").select("at")
-    sets = stored(signed.join(meeting, "at", "left_semi").select("node", "grams"), "sets")
-    member = nodes.select("node", "least_id").join(_linked(rare, sets), "node", "left")
+    sets = bucketed(sets, "sets", "node")
+    nodes = stored(sets.select("node", "least_id"), "nodes")
+    prefixes = stored(_prefixes(sets, _common(sets)).select("node", "size", F.explode("rare").alias("token")), "prefixes")
+    shared = prefixes.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
+    rare = stored(prefixes.join(shared, "token"), "rare")
+    discard(prefixes)
+    linked = stored(_linked(rare, sets), "linked")
+    discard(rare, sets)
+    member = nodes.select("node", "least_id").join(linked, "node", "left")
     member = member.select("node", "least_id", F.coalesce("root", "node").alias("root"))
     named = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_node = member.select("node", "root").join(named, "root").select("node", "component_id")
-    return signed.select("row_id", "text_key", "node").join(by_node, "node").select(
+    return rows.select("row_id", "text_key", "node").join(by_node, "node").select(
         F.col("row_id").cast(df.schema[row_id].dataType).alias(row_id), "text_key", "component_id"
     )
 
