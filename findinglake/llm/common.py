@@ -36,10 +36,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
-#: While a table is stored: its shuffle files go once it is written, and wide rows travel in small batches.
+#: While a table is stored: its shuffle files go once it is written, wide rows travel and are read in small batches, and
+#: files are read without the direct buffers of a whole row group.
 _WHILE_STORED = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+    "parquet.hadoop.vectored.io.enabled": "false",
 }
 
 
