@@ -86,35 +86,39 @@ def numbered_lines(patches: DataFrame, keys: list[str]) -> DataFrame:
     Suited to large patches; `parsed_lines` suits many small ones.
     """
     rows = patches.select(*keys, F.posexplode(F.split("patch", "\n")).alias("i", "raw"))
-    header = matches(F.col("raw"), P.HUNK_HEADER)
-    upto = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    header = F.col("raw").startswith("@@") & matches(F.col("raw"), P.HUNK_HEADER)
+    sign = F.substring("raw", 1, 1)
+    kind = F.when(F.col("header"), "header").when(sign == "+", "add").when(sign == "-", "del").otherwise("context")
+    in_order = Window.partitionBy(*keys).orderBy("i")
+    upto = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = (
         rows.withColumn("header", header)
         .where(F.col("header") | ~F.col("raw").startswith("\\"))
-        .withColumn("hunk", F.sum(F.col("header").cast("int")).over(upto))
-        .where(F.col("hunk") > 0)
-    )
-    sign = F.substring("raw", 1, 1)
-    kind = F.when(F.col("header"), "header").when(sign == "+", "add").when(sign == "-", "del").otherwise("context")
-    in_hunk = (
-        Window.partitionBy(*keys, "hunk").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        .withColumn("kind", kind)
     )
     counted = (
-        marked.withColumn("kind", kind)
-        .withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy("i")))
-        .withColumn("start_new", F.first(capture(F.col("raw"), P.HUNK_HEADER, 3).try_cast("int")).over(in_hunk))
-        .withColumn("start_old", F.first(capture(F.col("raw"), P.HUNK_HEADER, 1).try_cast("int")).over(in_hunk))
-        .withColumn("seen_new", F.sum(F.when(F.col("kind").isin("add", "context"), 1).otherwise(0)).over(in_hunk))
-        .withColumn("seen_old", F.sum(F.when(F.col("kind").isin("del", "context"), 1).otherwise(0)).over(in_hunk))
+        marked.withColumn("hunk", F.sum(F.col("header").cast("int")).over(upto))
+        .withColumn("row", F.row_number().over(in_order))
+        .withColumn("seen_new", F.sum(F.col("kind").isin("add", "context").cast("int")).over(upto))
+        .withColumn("seen_old", F.sum(F.col("kind").isin("del", "context").cast("int")).over(upto))
+    )
+    # What stood at the last header, and the row of the first: all windows share one order, so rows are sorted once.
+    start = F.struct(
+        (capture(F.col("raw"), P.HUNK_HEADER, 3).try_cast("int") - F.col("seen_new") - 1).alias("new"),
+        (capture(F.col("raw"), P.HUNK_HEADER, 1).try_cast("int") - F.col("seen_old") - 1).alias("old"),
+    )
+    placed = (
+        counted.withColumn("start", F.last(F.when(F.col("header"), start), ignorenulls=True).over(upto))
+        .withColumn("first_row", F.min(F.when(F.col("header"), F.col("row"))).over(upto))
     )
-    return counted.where(F.col("kind") != "header").select(
+    return placed.where((F.col("hunk") > 0) & (F.col("kind") != "header")).select(
         *keys,
         F.col("hunk").cast("int").alias("hunk"),
         "kind",
         F.expr("substr(raw, 2)").alias("content"),
-        F.when(F.col("kind") != "del", F.col("start_new") + F.col("seen_new") - 1).cast("int").alias("new_line"),
-        F.when(F.col("kind") != "add", F.col("start_old") + F.col("seen_old") - 1).cast("int").alias("old_line"),
-        F.col("position").cast("int").alias("position"),
+        F.when(F.col("kind") != "del", F.col("start.new") + F.col("seen_new")).cast("int").alias("new_line"),
+        F.when(F.col("kind") != "add", F.col("start.old") + F.col("seen_old")).cast("int").alias("old_line"),
+        (F.col("row") - F.col("first_row") + 1).cast("int").alias("position"),
     )
 
 
