@@ -20,12 +20,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays.
+    """Of each group of texts that SimHash links the document with the smallest id stays.
 
     Rows that repeat its id and text are the same document and stay with it. Documents without id stay only where
     their whole group has none.
     """
-    found = simhash.similar(docs.select("doc_id", "text"))
+    found = simhash.near_duplicates(docs.select("doc_id", "text"))
     heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
         F.col("doc_id").alias("_head_id"), F.col("text_key").alias("_head_key")
     ).distinct()

@@ -9,8 +9,8 @@ fingerprint is stored in its cell and looks into that cell and those one step
 up; the pair is seen by whichever lies lower. Candidates are verified exactly
 as they meet. Equal fingerprints are one node, so copies never become pairs.
 
-`similar`, which the pipeline uses, decides by the Jaccard similarity of sets of
-five-word shingles instead; it has its candidates from the rarest shingles.
+`similar` decides by the Jaccard similarity of sets of five-word shingles
+instead; it has its candidates from the rarest shingles. No query uses it.
 
 Links become components by alternating large and small stars, with the edge
 list checkpointed in the shared folder each round.
@@ -65,16 +65,17 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(df: DataFrame, text: str = "text", row_id: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """The id and `bits`, the fingerprint as a signed long."""
+    """The id, `text_key` and `bits`, the fingerprint as a signed long."""
 
-    def row(key, value):
+    def row(key, tell, value):
         bits = fingerprint(value, shingle)
-        return key, bits - (1 << 64) if bits >> 63 else bits
+        return key, tell, bits - (1 << 64) if bits >> 63 else bits
 
     key_type = df.schema[row_id].dataType
     return map_rows(
-        df, [F.col(row_id), F.col(text)], row, "row_id, bits long", pa.schema([("bits", pa.int64())]),
-    ).select(F.col("row_id").cast(key_type).alias(row_id), "bits")
+        df, [F.col(row_id), text_key(F.col(text)), F.col(text)], row, "row_id, text_key long, bits long",
+        pa.schema([("text_key", pa.int64()), ("bits", pa.int64())]),
+    ).select(F.col("row_id").cast(key_type).alias(row_id), "text_key", "bits")
 
 
 def _cells(bits: Column) -> list[Column]:
@@ -130,14 +131,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, text: str = "text", row_id: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """One row per input row: the id, `bits`, and `component_id`, the smallest id of its component."""
+    """One row per input row: the id, `text_key`, `bits`, and `component_id`, the smallest id of its component."""
     prints = stored(fingerprints(df, text, row_id, shingle), "fingerprints")
     nodes = prints.groupBy("bits").agg(F.min(row_id).alias("least_id"))
     member = nodes.join(components(links(nodes.select("bits"))), nodes["bits"] == F.col("node"), "left").select(
         "bits", "least_id", F.coalesce("root", "bits").alias("root")
     )
     named = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return prints.join(member.select("bits", "root").join(named, "root"), "bits").select(row_id, "bits", "component_id")
+    return prints.join(member.select("bits", "root").join(named, "root"), "bits").select(row_id, "text_key", "bits", "component_id")
 
 
 def shingles(text: str | None) -> np.ndarray:

@@ -273,3 +273,19 @@ def test_stages_on_edges(spark, tmp_path, edge, empty, stage):
     if stage is corpus_pipeline.encode:
         texts = {(str(r.doc_id), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in docs.collect()}
         assert {(str(r.doc_id), r.decoded_sha256) for r in rows} == texts
+
+
+def test_pipeline_drops_what_simhash_links_and_nothing_else(spark):
+    chance = random.Random(21)
+    docs = [" ".join(f"w{chance.randrange(4000)}" for _ in range(400)) for _ in range(30)]
+    rows = [(2 * k, text) for k, text in enumerate(docs)]
+    # Every second text has a longer version: over 0.8 of five-word shingles are shared, yet most fingerprints are far apart.
+    rows += [(2 * k + 1, docs[k] + " " + " ".join(f"v{chance.randrange(4000)}" for _ in range(30))) for k in range(0, 30, 2)]
+    rows += [(100 + k, docs[k].upper()) for k in range(5)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    group = brute_groups({brute_fingerprint(t) for _, t in rows}, lambda a, b: bin(a ^ b).count("1") <= 3)
+    least = {}
+    for i, t in sorted(rows):
+        least.setdefault(group[brute_fingerprint(t)], i)
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect())
+    assert kept == sorted(least.values()) and len(kept) > 30 and not set(kept) & set(range(100, 105))
