@@ -27,17 +27,26 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: A number of partitions that the caller asks for where texts are worked on row by row; unset, a scan takes its input's.
+#: A number of partitions that the caller asks for where rows are worked on one by one.
 SPREAD = "spark.findinglake.partitions"
 
 
+#: Partitions without such a number: so many for a core, and no fewer in all.
+PER_CORE, LEAST = 4, 32
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """The rows dealt out to as many partitions as the session asks for, if it does: one shuffle of these columns.
+    """The rows dealt out over the cluster: one shuffle of these columns.
 
-    For inputs of few, large row groups, which one task each would read and work through.
+    A file of few, large row groups is one task each otherwise, however many cores there are. A task of a scan costs
+    about half a second before its first row, so without a number asked for there are a few for each core, or as many
+    as the input has.
     """
-    wanted = df.sparkSession.conf.get(SPREAD, None)
-    return df.repartition(int(wanted)) if wanted else df
+    spark = df.sparkSession
+    wanted = spark.conf.get(SPREAD, None)
+    if not wanted:
+        wanted = max(LEAST, PER_CORE * spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
+    return df.repartition(int(wanted))
 
 
 def hashed(*parts: Column) -> Column:
