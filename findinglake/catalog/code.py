@@ -268,7 +268,7 @@ def scan_counts(spark, sf_dir):
 
 def scan_pages(spark, sf_dir):
     """Raw web pages scanned as they are: whole HTML, file by file."""
-    files = read(spark, sf_dir, "pages").select(
+    files = spread(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select(
         F.col("page_id").alias("file_idx"), F.concat(F.lit("site/p"), F.col("page_id").cast("string"), F.lit(".html")).alias("file_path"),
         F.concat_ws(
             "\n", "html", F.concat(F.when(F.col("page_id") % 3 == 0, F.lit("<!-- DES -->")).otherwise(F.lit("<!-- none -->")), "url")
@@ -286,7 +286,7 @@ def _long_files(spark, sf_dir):
     calls = F.transform(
         F.sequence(F.lit(1), (key % 10 + 26).cast("int")), lambda n: F.concat(F.lit("eval(a"), n.cast("string"), F.lit(");"))
     )
-    return read(spark, sf_dir, "documents").select(
+    return spread(read(spark, sf_dir, "documents").select("doc_id")).select(
         key.alias("file_idx"), F.concat(F.lit("lib/f"), key.cast("string"), F.lit(".js")).alias("file_path"),
         F.array_join(calls, "\n").alias("content"), F.lit("modified").alias("status"),
         F.lit(None).cast("array<int>").alias("changed_lines"),
