@@ -110,7 +110,7 @@ def split_diffs(spark, sf_dir):
         "diff --git a/gone b/gone\ndeleted file mode 100644\n--- a/gone\n+++ /dev/null\n@@ -1 +0,0 @@\n-z\n",
         "diff --git a/p b/n\nsimilarity index 90%\nrename from p\nrename to n\n--- a/p\n+++ b/dir/n", c, "\n@@ -2,2 +2,3 @@ t\n k\n+", "m\n\\ No newline at end of file\n",
     )
-    return pt.split_multi_file_diff(read(spark, sf_dir, "customer").select("c_custkey", diff.alias("diff")), ["c_custkey"])
+    return pt.split_multi_file_diff(spread(read(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", diff.alias("diff")), ["c_custkey"])
 
 
 # --- deliveries ---------------------------------------------------------------------------------
