@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -299,6 +300,48 @@ def test_lm_trains_on_every_window(spark):
     assert all(np.allclose(got, want, atol=1e-5) for got, want in zip(model.parts, one.parts))
 
 
+def test_lm_reads_slices_of_texts_as_it_reads_each(monkeypatch):
+    odd = [bytes(range(256)), None, b"", b" \t ", b" A b\x0bB\x0cb\r\n", b"\xff\xfe \xc3", "É a\u00a0b\u2003c".encode()]
+    texts = odd + [b"a  b unknown " * k for k in range(30)] + odd
+    each = [lm.tokens(t) for t in texts]
+    vocabulary = lm.Vocabulary({b"b": 9, b"a": 7, lm.END: 5, b"\xff\xfe": 1})
+    monkeypatch.setattr(lm, "BATCH_CHARS", 100)
+    monkeypatch.setattr(lm, "_HELD", 8)
+    column = pa.concat_arrays([pa.array([b"cut off"], pa.binary()), pa.array(texts, pa.binary())]).slice(1)
+    read = list(vocabulary.read(column))
+    assert len(read) > 5
+    assert np.concatenate([lengths for lengths, _, _ in read]).tolist() == [len(ts) for ts in each]
+    assert np.concatenate([places for _, places, _ in read]).tolist() == [p for ts in each for p in vocabulary.places(ts)]
+    assert [t for _, _, others in read for t in others] == [t for ts in each for t in ts if t not in vocabulary]
+    got = [vocabulary.windows(places, lengths) for lengths, places, _ in read]
+    want = [vocabulary.windows(vocabulary.places(ts)) for ts in each]
+    for k in (0, 1):
+        assert np.array_equal(np.concatenate([w[k] for w in got]), np.concatenate([w[k] for w in want]))
+    counted, batches = Counter(), list(lm.partial_counts(pa.RecordBatch.from_arrays([column], ["text"]) for _ in range(2)))
+    for batch in batches:
+        counted.update(dict(zip(*(c.to_pylist() for c in batch.columns))))
+    assert len(batches) > 1 and counted == Counter(t for ts in each for t in ts for _ in range(2))
+
+
+def test_lm_scores_without_an_exp_for_each_window_and_class(monkeypatch):
+    chance = np.random.default_rng(3)
+    classes, before = chance.integers(0, lm.SHORTLIST, 9000), chance.integers(0, lm.SHORTLIST + lm.BUCKETS + 1, (9000, lm.ORDER))
+    model = lm.Model(chance.integers(0, 50, lm.SHORTLIST))
+    model.parts = [part + chance.normal(0, 0.3, part.shape).astype(np.float32) for part in model.parts]
+    want, done, exp = model.log10_by_scores(classes, before), [], np.exp
+
+    def counted(x, *others, **named):
+        done.append(np.size(x))
+        return exp(x, *others, **named)
+
+    monkeypatch.setattr(np, "exp", counted)
+    assert np.allclose(model.log10_class(classes, before), want, atol=1e-5)
+    assert sum(done) <= lm.ORDER * lm.SHORTLIST * (lm.SHORTLIST + lm.BUCKETS + 1) < len(classes) * lm.SHORTLIST
+    model.parts[0] = model.parts[0] * 60
+    got = model.log10_class(classes, before)
+    assert np.isfinite(got).all() and np.array_equal(got, model.log10_by_scores(classes, before))
+
+
 def test_lm_counts_the_end_below_the_threshold(spark):
     texts = [" ".join(["often"] * 40 + ["more"] * 30 + [f"w{k}"]) for k in range(6)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
