@@ -167,3 +167,82 @@ def test_live_advisories_meet_hot_packages(spark, keys):
     )
     found = scan(frame, ScanOptions(categories=("dependencies",), keys=keys), live).where("rule_id like '%known-vulnerable%'").collect()
     assert len(found) == 201 and len({r.fingerprint for r in found}) == 201
+
+
+FILES_OF_REPOS = "file_idx long, file_path string, content string, status string, changed_lines array<int>, repo string"
+LIVE = "ecosystem string, name string, fixed_in string, cve string, severity string, summary string"
+
+
+def _manifest(used, built):
+    def lines(pairs):
+        return ",\n".join(f'    "{name}": "{version}"' for name, version in pairs)
+
+    return '{\n  "dependencies": {\n%s\n  },\n  "devDependencies": {\n%s\n  }\n}' % (lines(used), lines(built))
+
+
+def _above(plan, mark):
+    """The operators above the one whose line has the mark."""
+    lines = [line for line in plan.split("\n") if line.strip()]
+    depths = [next(k for k, c in enumerate(line) if c.isalpha()) for line in lines]
+    at = next(k for k, line in enumerate(lines) if mark in line)
+    found, depth = [], depths[at]
+    for k in range(at - 1, -1, -1):
+        if depths[k] < depth:
+            found.append(lines[k])
+            depth = depths[k]
+    return found
+
+
+def test_findings_of_live_advisories_are_not_shuffled(spark):
+    from findinglake.operators.scan import ScanOptions, scan
+
+    files = [(k, f"s{k}/package.json", _manifest([("pkg", "1.0.0")], []), "modified", None, "r") for k in range(40)]
+    live = spark.createDataFrame([("npm", "pkg", "2", f"CVE-{k}", "high", "s") for k in range(50)], LIVE)
+    found = scan(spark.createDataFrame(files, FILES_OF_REPOS), ScanOptions(categories=("dependencies",)), live)
+    above = _above(found._jdf.queryExecution().optimizedPlan().toString(), "(salt#")
+    assert above and not any(word in line for line in above for word in ("Aggregate", "Repartition", "Window", "Sort"))
+    assert found.count() == 40 * 50 == found.select("fingerprint").distinct().count()
+
+
+@pytest.mark.parametrize(
+    "keys, floor, odd", [((), "low", ()), (("repo",), "info", ()), (("repo",), "high", ("CVE 9",)), ((), "info", ("",))],
+    ids=["plain", "keys", "space", "empty"],
+)
+def test_live_findings_equal_those_told_apart_after_the_join(spark, keys, floor, odd):
+    from findinglake.operators import scan as sc
+
+    rng = random.Random(7)
+    long_ = "n" * 210
+    names = ["hotpkg", "HotPkg", "lodash", "p1", "p2", "p3", long_ + "a", long_ + "b", "unknown"]
+
+    def declared():
+        return [(rng.choice(names), rng.choice(["1.0.0", "4.17.1"])) for _ in range(rng.randrange(4))]
+
+    files = [
+        (k, f"s{rng.randrange(8)}/package.json", _manifest([("hotpkg", "1.0.0")] * (k % 3 == 0) + declared(), declared()), "modified",
+         rng.choice([None, None, [3, 4, 8]]), rng.choice(["a", "b", None]))
+        for k in range(40)
+    ]
+    severities = ["critical", "high", "medium", "low", "info", None]
+    rows = [("npm", rng.choice(names[:-1]), "9", f"CVE-{rng.randrange(9)}", severities[k % 6], "s") for k in range(60)]
+    rows += [("npm", "lodash", "9", "CVE-2021-23337", "low", "s"), ("npm", None, "9", "CVE-1", "low", "s"), ("npm", "p1", "9", None, "low", "s")]
+    rows += [("npm", name, "9", cve, "high", "s") for cve in odd for name in ("p1", "hotpkg")]
+    worst = {}
+    for row in sorted(rows, key=lambda r: severities.index(r[4])):
+        worst.setdefault((row[1] and row[1].lower(), row[3]), row)
+    frame = spark.createDataFrame(files, FILES_OF_REPOS)
+    options = sc.ScanOptions(categories=("dependencies",), min_severity=floor, keys=keys)
+    # Of equal advisories with several severities any may be kept, so here each comes once; below the worst decides.
+    one = spark.createDataFrame(list(worst.values()), LIVE)
+    columns = [*keys, "file_idx", "file_path", "rule_id", "severity", "confidence", "line", "end_line", "snippet", "title", "fingerprint"]
+    after = sc.worded(sc.first_per_fingerprint(sc.to_findings(sc.meet_advisories(sc.raw_hits(frame, options), one, keys), options), keys))
+    want = sorted(map(str, after.select(columns).collect()))
+    assert len(want) > 30
+    every = one if odd else spark.createDataFrame(rows, LIVE)
+    assert sorted(map(str, sc.scan(frame, options, every).select(columns).collect())) == want
+    if floor == "low":
+        capped = sc.ScanOptions(categories=("dependencies",), min_severity=floor, keys=keys, max_findings_per_file=2)
+        sizes = {}
+        for r in after.collect():
+            sizes[r.file_idx] = sizes.get(r.file_idx, 0) + 1
+        assert sc.scan(frame, capped, one).count() == sum(min(n, 2) for n in sizes.values())
